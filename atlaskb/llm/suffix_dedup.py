@@ -354,6 +354,7 @@ def clean(docs: DataFrame, length: int = LENGTH, keep: str = "first", id_col: st
     """docs, with the repeated strings cut from the text in whole characters; other columns as they are."""
     name = fresh(docs, "cuts_")
     joined = _with_spans(docs, spans(docs, length, keep, id_col, text_col), id_col, text_col, name)
+    columns_out = docs.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,7 +365,7 @@ def clean(docs: DataFrame, length: int = LENGTH, keep: str = "first", id_col: st
                     text = cut_text(data, whole_characters(data, merged([c["low"] for c in cuts], [c["high"] for c in cuts]))).decode()
                 texts.append(text)
             columns = [pa.array(texts, pa.string()) if f.name == text_col else c for f, c in zip(batch.schema, batch.columns, strict=True) if f.name != name]
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, columns_out)
 
     return map_batches(joined, rows, docs.schema)
 
