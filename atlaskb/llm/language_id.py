@@ -1,137 +1,148 @@
 """Language identification by rank-order n-gram profiles.
 
-Training counts all words of all training texts by language (per task in memory, bounded, then by a shuffle on
-(language, word)), expands each distinct word once into its letter n-grams of 1 to GRAMS letters, padded with a
-word mark, and keeps each language's TOP most frequent n-grams with their rank. A document's own most frequent
-TOP n-grams are ranked likewise; its distance to a language is the sum, over them, of the difference of
-ranks, or TOP where the profile lacks the n-gram. The nearest language wins.
+Training counts the letter n-grams of 1 to 3 letters of all training texts by language (words are padded with a
+word mark; counts of a batch are added up before they are shuffled) and keeps each language's TOP most
+frequent ones with their rank. A document's own most frequent TOP n-grams are ranked likewise; its
+distance to a language is the sum, over them, of the difference of ranks, or TOP where the profile lacks the
+n-gram. The nearest language wins. An n-gram is held as its code points, 21 bits each, in one integer.
 
 Only the profiles (languages x TOP rows) come to the driver.
 
-Defined results: `und` with score 0 for a null text or one without a letter; equal counts rank by a hash of
-the n-gram, equal distances by the language's name; a null language is not trained on; without any training
+Defined results: `und` with score 0 for a null text or one without a letter; equal counts rank by code
+points, equal distances by the language's name; a null language is not trained on; without any training
 row every text is `und`; empty tables give empty results; further columns are ignored; repeated rows count.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, read
 
-GRAMS, TOP = 3, 400
-#: Entries that a task counts in memory before it passes them on.
-MEMO = 300_000
-_LETTERS = regex.compile(r"\p{L}+")
-
-
-def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
-
-
-def grams_of(word: str) -> list[str]:
-    padded = f"_{word}_"
-    return [padded[i : i + n] for n in range(1, GRAMS + 1) for i in range(len(padded) - n + 1) if padded[i : i + n] != "_"]
-
-
-def _hash(gram: str) -> int:
-    return xxhash.xxh64_intdigest(gram.encode())
-
-
-def _drain(counts: dict[str, Counter]) -> pa.RecordBatch:
-    langs = [lang for lang, c in counts.items() for _ in c]
-    keys = [k for c in counts.values() for k in c]
-    values = [v for c in counts.values() for v in c.values()]
-    counts.clear()
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(keys, pa.string()), pa.array(values, pa.int64())], ["lang", "key", "n"])
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, Counter] = {}
-    for batch in batches:
-        for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
-            counts.setdefault(lang, Counter()).update(words_of(text))
-        if sum(map(len, counts.values())) > MEMO:
-            yield _drain(counts)
-    yield _drain(counts)
+TOP = 400
+#: The word mark, and letters of a batch up to which n-grams are counted in a table rather than by sorting.
+MARK, ALPHABET = ord("_"), 128
+
+
+@cache
+def _is_letter() -> np.ndarray:
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    table = np.zeros(0x110000, dtype=bool)
+    table[[ord(c) for c in regex.findall(r"\p{L}", "".join(map(chr, points)))]] = True
+    return table
+
+
+def marked_letters(text: str) -> np.ndarray:
+    """Code points of the lower-cased text: words with one mark before, between and after; empty without a letter."""
+    codes = np.frombuffer(f"_{text.lower()}_".encode("utf-32-le"), dtype=np.uint32)
+    letter = _is_letter()[codes]
+    codes = np.where(letter, codes, MARK)
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    keep[0] = True
+    kept = codes[keep].astype(np.int64)
+    return kept if len(kept) > 2 or letter.any() else kept[:0]
+
+
+def grams(codes: np.ndarray) -> np.ndarray:
+    """The n-grams, packed; none crosses a word's border."""
+    one = codes[codes != MARK]
+    two = codes[:-1] << 21 | codes[1:]
+    two = two[(codes[:-1] != MARK) | (codes[1:] != MARK)]
+    three = (codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:])[codes[1:-1] != MARK]
+    return np.concatenate((one, two, three))
+
+
+def counted(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and how often each occurs."""
+    packed = np.sort(packed)
+    first = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1])))
+    return packed[first], np.diff(np.append(first, len(packed)))
+
+
+def counted_by_table(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same as counted(grams(codes)), by a table over the letters that occur."""
+    seen = np.zeros(0x110000, dtype=bool)
+    seen[codes] = True
+    letters = np.flatnonzero(seen)
+    n = len(letters)
+    if n > ALPHABET:
+        return counted(grams(codes))
+    place = np.zeros(0x110000, dtype=np.int64)
+    place[letters] = np.arange(n)
+    c, mark = place[codes], place[MARK]
+    one = np.bincount(c, minlength=n)
+    one[mark] = 0
+    two = np.bincount(c[:-1] * n + c[1:], minlength=n * n)
+    two[mark * n + mark] = 0
+    three = np.bincount((c[:-2] * n + c[1:-1]) * n + c[2:], minlength=n**3)
+    three.reshape(n, n, n)[:, mark, :] = 0
+    a, b, t = (np.flatnonzero(x) for x in (one, two, three))
+    packed = np.concatenate((letters[a], letters[b // n] << 21 | letters[b % n], letters[t // n // n] << 42 | letters[t // n % n] << 21 | letters[t % n]))
+    return packed, np.concatenate((one[a], two[b], three[t]))
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, Counter] = {}
     for batch in batches:
-        for lang, word, n in zip(batch["lang"].to_pylist(), batch["key"].to_pylist(), batch["n"].to_pylist(), strict=True):
-            own = counts.setdefault(lang, Counter())
-            for gram in grams_of(word):
-                own[gram] += n
-        if sum(map(len, counts.values())) > MEMO:
-            yield _drain(counts)
-    yield _drain(counts)
+        by_lang: dict[str, list[np.ndarray]] = {}
+        for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
+            by_lang.setdefault(lang, []).append(marked_letters(text))
+        for lang, parts in by_lang.items():
+            # Each part begins and ends with a mark, so nothing crosses from one to the next.
+            codes = np.concatenate(parts)
+            if len(codes):
+                keys, n = counted_by_table(codes)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n.astype(np.int64))], ["lang", "key", "n"])
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, list[int]]:
     """Each language's n-grams, most frequent first, learned from all rows of docs."""
     source = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    total = lambda df: df.groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    words = total(map_batches(source, _count_words, "lang string, key string, n long"))
-    grams = total(map_batches(words, _count_grams, "lang string, key string, n long"))
+    counts = map_batches(source, _count_grams, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
-    top = grams.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP)
-    profiles: dict[str, list[tuple[int, str]]] = {}
+    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP)
+    profiles: dict[str, list[tuple[int, int]]] = {}
     for lang, gram, rank in top.select("lang", "key", "rank").collect():
         profiles.setdefault(lang, []).append((rank, gram))
     return {lang: [gram for _, gram in sorted(found)] for lang, found in sorted(profiles.items())}
 
 
 class Ranker:
-    """Predicts with trained profiles; a bounded memo keeps the n-gram hashes of words."""
+    """Predicts with trained profiles."""
 
-    def __init__(self, profiles: dict[str, list[str]]):
+    def __init__(self, profiles: dict[str, list[int]]):
         self.langs = sorted(profiles)
-        known = sorted({_hash(g) for grams in profiles.values() for g in grams})
-        self.known = np.array(known, dtype=np.uint64)
-        place = {h: i for i, h in enumerate(known)}
-        self.ranks = np.full((len(self.langs), len(known) + 1), -1, dtype=np.int64)
+        self.known = np.array(sorted({g for found in profiles.values() for g in found}), dtype=np.int64)
+        self.ranks = np.full((len(self.langs), len(self.known) + 1), -1, dtype=np.int64)
         for i, lang in enumerate(self.langs):
-            for rank, gram in enumerate(profiles[lang]):
-                self.ranks[i, place[_hash(gram)]] = rank
-        self.memo: dict[str, np.ndarray] = {}
-
-    def _grams(self, word: str) -> np.ndarray:
-        if (found := self.memo.get(word)) is None:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            found = np.array([_hash(g) for g in grams_of(word)], dtype=np.uint64)
-            if len(word) <= 64:
-                self.memo[word] = found
-        return found
+            self.ranks[i, np.searchsorted(self.known, profiles[lang])] = np.arange(len(profiles[lang]))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(words_of(text))
-        if not counts or not self.langs:
+        codes = marked_letters(text) if text else ()
+        if not len(codes) or not self.langs:
             return "und", 0.0
-        parts = [self._grams(w) for w in counts]
-        weights = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), [len(p) for p in parts])
-        grams, at = np.unique(np.concatenate(parts), return_inverse=True)
-        n = np.bincount(at, weights=weights)
-        grams = grams[np.lexsort((grams, -n))[:TOP]]
-        where = np.searchsorted(self.known, grams)
+        found, n = counted(grams(codes))
+        if len(found) > TOP:
+            least = np.partition(n, len(n) - TOP)[len(n) - TOP]
+            found, n = found[n >= least], n[n >= least]
+        found = found[np.argsort(-n, kind="stable")[:TOP]]
+        where = np.searchsorted(self.known, found)
         where[where == len(self.known)] = 0
-        where = np.where(self.known[where] == grams, where, len(self.known))
+        where = np.where(self.known[where] == found, where, len(self.known))
         ranks = self.ranks[:, where]
-        distance = np.where(ranks >= 0, np.minimum(np.abs(ranks - np.arange(len(grams))), TOP), TOP).sum(axis=1)
+        distance = np.where(ranks >= 0, np.minimum(np.abs(ranks - np.arange(len(found))), TOP), TOP).sum(axis=1)
         best = int(distance.argmin())
-        return self.langs[best], float(1 - distance[best] / (TOP * len(grams)))
+        return self.langs[best], float(1 - distance[best] / (TOP * len(found)))
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """doc_id, lang_pred, score for every row, and the columns named in keep; only the text is looked at."""
     kept = keep or []
 
