@@ -1,10 +1,10 @@
 """Packing of documents into fixed-length token sequences along a space-filling curve.
 
-A document's vector is its bag of tokens hashed to DIMS dimensions: every token id has a fixed pseudo-random
-direction, and the vector is their mean. Each dimension is cut into 2**BITS cells and the cells' Hilbert
-index is the document's key, so that documents with near keys have near vectors. Documents are range-sorted
-by (key, id), and each range is packed on its own by laying its documents end to end and cutting every `size`
-tokens. What is left at a range's end is cut into powers of two, which need no padding.
+A document's vector is its bag of byte grams hashed to PLACES places, projected to DIMS dimensions: each place has
+a fixed pseudo-random direction, and the projection is their mean. Each dimension is cut into 2**BITS cells and
+the cells' Hilbert index is the document's key, so that documents with near keys have near vectors. Documents
+are range-sorted by (key, id), and each range is packed on its own by laying its documents end to end and
+cutting every `size` tokens. What is left at a range's end is cut into powers of two, which need no padding.
 
 Copies share a key, so the id is part of the sort key and a large group of copies is spread over ranges.
 A task streams its range: it holds one Arrow batch, never a whole range.
@@ -16,7 +16,10 @@ are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,39 +32,80 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, map_batches, mix, read
 
 SIZE, END, DIMS, BITS = 4096, 2, 3, 10
+#: Places of the hashed document vector, and bytes of a gram.
+PLACES, GRAM = 4096, 4
 #: Entries after which the memo of token ids by word starts anew.
-MEMO_WORDS = 400_000
-#: White space that splits words in the tokenizer and in str.split alike; a text with any other kind is
-#: given to the tokenizer whole.
-_ODD_SPACE = dict.fromkeys([*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x180E, 0xFEFF])
+MEMO_WORDS = 800_000
+#: Characters that str.split takes for white space beside the ASCII ones that the tokenizer knows; a text with
+#: any of them is given to the tokenizer whole.
+_ODD_ASCII = ("\x1c", "\x1d", "\x1e", "\x1f")
+_ODD_SPACE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+
+
+def is_latin_1(text: str) -> bool:
+    """Whether all characters are below U+0100, where each is its own normal form and lower case is by character."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _byte_symbols() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class WordIds:
     """Token ids of texts as little-endian 32-bit bytes, with a bounded memo by word."""
 
     def __init__(self, path: str):
+        # Its own threads would only compete with the other tasks of the executor.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        symbols = _byte_symbols()
+        self.symbols = {c: "".join(symbols[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
         self.memo: dict[str, bytes] = {}
-        self.odd = set(map(chr, _ODD_SPACE))
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def letters(self, word: str) -> bytes:
+        """Ids of a lower-case word of Latin letters: one piece, so the model alone decides."""
+        return array("I", [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.symbols))]).tobytes()
+
+    def latin(self, word: str) -> bytes:
+        if word.isalpha():
+            return self.letters(word)
+        if word[-1] in ",." and word[:-1].isalpha():
+            memo, stem = self.memo, word[:-1]
+            if (ids := memo.get(stem)) is None:
+                ids = memo[stem] = self.letters(stem)
+            return ids + self.whole(word[-1])
+        return self.whole(word)
 
     def __call__(self, text: str) -> bytes:
-        if not text.isascii() and not self.odd.isdisjoint(text) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        latin = text.isascii() or is_latin_1(text)
+        if any(c in text for c in _ODD_ASCII) or not text.isascii() and ("\x85" in text or "\xa0" in text if latin else _ODD_SPACE.search(text)):
             return self.whole(text)
+        if latin:
+            text = text.lower()
+        new = self.latin if latin else self.whole
         words, memo = text.split(), self.memo
         try:
             return b"".join([memo[w] for w in words])
         except KeyError:
             if len(memo) > MEMO_WORDS:
                 memo.clear()
-            new = list({w for w in words if w not in memo})
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, dtype="<u4").tobytes()
+            for w in words:
+                if w not in memo:
+                    memo[w] = new(w)
             return b"".join([memo[w] for w in words])
 
 
@@ -71,11 +115,19 @@ def word_ids(path: str) -> WordIds:
 
 
 @cache
-def _directions(vocabulary: int) -> np.ndarray:
-    """A fixed pseudo-random direction in [-1, 1)**DIMS for each token id."""
-    ids = np.arange(vocabulary * DIMS, dtype=np.uint64).reshape(vocabulary, DIMS)
-    with np.errstate(over="ignore"):
-        return (mix(ids * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) >> np.uint64(11)).astype(np.float64) / 2**52 - 1
+def _directions() -> np.ndarray:
+    """A fixed pseudo-random direction in [-1, 1)**DIMS for each place of the hashed vector."""
+    ids = np.arange(1, PLACES * DIMS + 1, dtype=np.uint64).reshape(PLACES, DIMS)
+    return (mix(ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) / 2**52 - 1
+
+
+def hashed_vector(data: bytes) -> np.ndarray:
+    """Counts of the text's GRAM-byte substrings, hashed to PLACES."""
+    b = np.frombuffer(data.ljust(GRAM), dtype=np.uint8).astype(np.uint32)
+    h = b[: len(b) - GRAM + 1].copy()
+    for i in range(1, GRAM):
+        h = h * np.uint32(0x01000193) ^ b[i : len(b) - GRAM + 1 + i]
+    return np.bincount((h * np.uint32(0x9E3779B1)) >> np.uint32(20), minlength=PLACES)
 
 
 def hilbert_index(cells: list[int], bits: int) -> int:
@@ -105,18 +157,18 @@ def hilbert_index(cells: list[int], bits: int) -> int:
     return index
 
 
-def curve_key(ids: np.ndarray) -> int:
-    """The Hilbert key of a document. Means of many directions are near 0, so each cell is a step of the
-    hyperbolic tangent, which spreads them."""
-    if not len(ids):
+def curve_key(text: str) -> int:
+    """The Hilbert key of a document. The mean of many directions is near 0, so cells are steps of the
+    hyperbolic tangent, which spreads the means."""
+    if not text:
         return 0
-    table = _directions(max(65_536, int(ids.max()) + 1))
-    mean = table[ids].mean(axis=0)
+    counts = hashed_vector(text.encode())
+    mean = counts @ _directions() / counts.sum()
     cells = np.clip((np.tanh(mean * 8) + 1) * 2 ** (BITS - 1), 0, 2**BITS - 1).astype(int)
     return hilbert_index(cells.tolist(), BITS)
 
 
-def tail_lengths(left: int, smallest: int = 1) -> list[int]:
+def tail_lengths(left: int) -> list[int]:
     """The sequences for the last `left` tokens of a range: powers of two, largest first, so none is padded."""
     return [1 << b for b in range(left.bit_length() - 1, -1, -1) if left >> b & 1]
 
@@ -126,18 +178,15 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     (the piece's ids as little-endian unsigned 32-bit integers)."""
     last = np.array([end], dtype="<u4").tobytes()
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = word_ids(vocabulary)
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [ids_of(t or "") for t in batch["text"].to_pylist()]
-            keys = [curve_key(np.frombuffer(i, dtype="<u4")) for i in ids]
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(keys, pa.int64()), pa.array([i + last for i in ids], pa.binary())], ["doc_id", "key", "ids"]
-            )
+            keys = [curve_key(t or "") for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(keys, pa.int64()), batch["text"]], ["doc_id", "key", "text"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        ids_of = word_ids(vocabulary)
         first, filled, number = TaskContext.get().partitionId() << 40, 0, 0
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tokens"]
         kinds = [None, *[pa.int64()] * 6, pa.binary()]
@@ -151,7 +200,8 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         kind = None
         for batch in batches:
             kind, done = batch["doc_id"].type, []
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), batch["ids"].to_pylist(), strict=True):
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                ids = ids_of(text or "") + last
                 n, at = len(ids) // 4, 0
                 while at < n:
                     m = min(n - at, size - filled)
@@ -180,8 +230,8 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    encoded = map_batches(source, encode, f"doc_id {kind}, key long, ids binary")
-    ranged = encoded.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", F.crc32("ids"))
+    keyed = map_batches(source, key, f"doc_id {kind}, key long, text string")
+    ranged = keyed.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", F.xxhash64("text"))
     return map_batches(
         ranged, cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tokens binary"
     )
