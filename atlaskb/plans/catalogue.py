@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import log_queries, page_queries, search_queries, store_queries
 
-from pyspark.sql import DataFrame, SparkSession
+_PARTS = (search_queries, page_queries, store_queries, log_queries)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").limit(1)
+flagship = search_queries.retrieve_context
