@@ -12,9 +12,10 @@ windows (strings of `length` bytes) together:
    `length` bytes are an interval, and a window's longest previous factor reaches `length` if, in that interval,
    a smaller position is before or after it (previous and next smaller positions). The longest next factor is
    its mirror image.
-4. A key with more than GROUP distinct runs is not gathered: its runs are cut into FAN shorter ones,
-   whose key is the hash of the bytes that all their windows share, and go through 2 to 4 again. Runs of one
-   window have their own bytes as key, so this ends after a few rounds, whatever the group's size.
+4. A key with more than GROUP distinct runs is not gathered: its runs are cut into some FAN shorter ones, by the
+   minimizer's place in the window, whose key is the hash of the bytes that all windows of such a cell share,
+   and go through 2 to 4 again. In cells of one place the key is the window's own hash, so this ends after a few
+   rounds, whatever the group's size.
 
 keep="first" removes what has an earlier occurrence (by doc_id, then position) and keeps the first;
 keep="none" removes every occurrence.
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, fresh, map_batches, mix, read, stored
 
 LENGTH = 400
-#: Distinct runs of a key up to which one task gathers them; beyond, they are cut into FAN shorter runs.
+#: Distinct runs of a key up to which one task gathers them; beyond, they are cut into some FAN shorter runs.
 GROUP, FAN = 512, 4
 #: Bytes of runs that are sorted together, and windows of a text that are hashed together.
 BIN_BYTES, SEGMENT = 1 << 20, 1 << 20
@@ -151,22 +152,33 @@ def _find_runs(length: int):
     return rows
 
 
-def _cut_runs(length: int):
-    """Cut each run into FAN shorter ones; the key of a part is the hash of the bytes its windows share."""
+def anchor(body: bytes, length: int) -> int:
+    """Where the minimizer of a run's windows starts in the run's bytes."""
+    hashes = gram_hashes(np.frombuffer(body, dtype=np.uint8), gram_bytes(length))
+    low = np.uint64((1 << 21) - 1)
+    return int(((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)).argmin())
+
+
+def _cut_runs(length: int, width: int):
+    """Cut each run at every `width` places of the minimizer in the window, so that equal windows fall into the same
+    cell. The key of a part is the hash of the bytes that all windows of the cell share, whether or not the run
+    has them all."""
+    last = length - gram_bytes(length)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             take, keys, hashes, starts, counts, bodies = [], [], [], [], [], []
             for i, (start, n, body) in enumerate(zip(batch["start"].to_pylist(), batch["windows"].to_pylist(), batch["body"].to_pylist(), strict=True)):
-                step = -(-n // FAN)
-                for a in range(0, n, step):
-                    m = min(step, n - a)
-                    part = body[a : a + m - 1 + length]
+                shift = last - anchor(body, length)  # of the first window, counted from the one that ends with its minimizer
+                for cell in range(shift // width, (shift + n - 1) // width + 1):
+                    a, b = max(cell * width - shift, 0), min((cell + 1) * width - shift, n)
+                    part = body[a : b - 1 + length]
+                    core = body[min((cell + 1) * width - 1, last) - shift : cell * width - shift + length]
                     take.append(i)
-                    keys.append(xxhash.xxh3_64_intdigest(part[m - 1 : length], seed=m))
+                    keys.append(xxhash.xxh3_64_intdigest(core, seed=cell))
                     hashes.append(xxhash.xxh3_64_intdigest(part))
                     starts.append(start + a)
-                    counts.append(m)
+                    counts.append(b - a)
                     bodies.append(part)
             at = pa.array(take, pa.int64())
             as_long = lambda x: pa.array(_signed(np.array(x, dtype=np.uint64)))
@@ -291,6 +303,7 @@ def spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", id_col: str
     once = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("text_hash") == F.col("text_hash_"))).drop("doc_id_", "text_hash_")
     bodies = map_batches(once, _fetch_bodies(length), f"{owner}, key long, start int, windows int, body binary, repeated boolean")
     bodies = stored(bodies, "suffix-bodies")
+    width = length - gram_bytes(length) + 1
     while True:
         sizes = bodies.groupBy("key").agg(F.count(F.lit(1)).alias("n_"))
         small = bodies.join(sizes.where(F.col("n_") <= GROUP), "key").drop("n_")
@@ -299,7 +312,8 @@ def spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", id_col: str
         large = sizes.where(F.col("n_") > GROUP)
         if large.isEmpty():
             break
-        cut = map_batches(bodies.join(large.select("key"), "key", "left_semi"), _cut_runs(length), f"{owner}, {_RUN}, body binary, repeated boolean")
+        width = -(-width // FAN)
+        cut = map_batches(bodies.join(large.select("key"), "key", "left_semi"), _cut_runs(length, width), f"{owner}, {_RUN}, body binary, repeated boolean")
         cut = stored(cut, "suffix-cut")
         covered, again = level(cut, [*place, "body"])
         found.append(stored(covered, "suffix-covered"))
