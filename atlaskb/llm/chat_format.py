@@ -79,12 +79,15 @@ def positions(turns: DataFrame) -> DataFrame:
     known = stored(known, "chat-turns")
     before = known.select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit(True).alias("has"))
     table = known.join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", F.when(F.col("has"), F.col("turn") - 1).alias("up"), F.when(F.col("has"), 1).otherwise(0).cast("long").alias("position"))
-    while True:
-        table = stored(table, "chat-positions")
-        if table.where("up IS NOT NULL").isEmpty():
-            return table.drop("up")
-        above = table.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("position").alias("more"))
-        table = table.join(above, ["conv_id", "up"], "left").select("conv_id", "turn", F.col("next").alias("up"), (F.col("position") + F.coalesce("more", F.lit(0))).alias("position"))
+    table = stored(table, "chat-positions")
+    ended, open_ = table.where("up IS NULL"), table.where("up IS NOT NULL")
+    while not open_.isEmpty():
+        # Only turns that haven't met the head of their chain look further up.
+        above = ended.unionByName(open_).select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("position").alias("more"))
+        moved = open_.join(above, ["conv_id", "up"]).select("conv_id", "turn", F.col("next").alias("up"), (F.col("position") + F.col("more")).alias("position"))
+        moved = stored(moved, "chat-positions")
+        ended, open_ = ended.unionByName(moved.where("up IS NULL")), moved.where("up IS NOT NULL")
+    return ended.drop("up")
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -110,7 +113,7 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """calls with `valid`: whether the arguments fit the schema of the name, null without one."""
     rules = schemas.groupBy("name").agg(F.collect_list(F.struct("property", "type", "required")).alias("rules"))
     given = F.try_variant_get(F.try_parse_json("arguments"), "$", "map<string,variant>")
-    kind = lambda rule: F.schema_of_variant(F.col("given").getItem(rule["property"]))
+    kind = lambda rule: F.schema_of_variant(F.try_element_at(F.col("given"), rule["property"]))
     fits = F.forall("rules", lambda r: F.when(F.map_contains_key("given", r["property"]), kind(r) == r["type"]).otherwise(~r["required"]))
     closed = F.size(F.array_except(F.map_keys("given"), F.transform("rules", lambda r: r["property"]))) == 0
     checked = calls.join(rules, "name", "left").withColumn("given", given)
