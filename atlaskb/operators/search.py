@@ -13,7 +13,8 @@ from ..config import Settings
 from ..functions.text import tokens
 from ..functions.vectors import dot, norm
 
-DIGITS = 9
+#: Decimals of cosines and fused ranks, and of BM25 scores, which are larger.
+DIGITS, BM25_DIGITS = 9, 6
 
 
 def tokenized(chunks: DataFrame) -> DataFrame:
@@ -53,7 +54,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, settings: Settings) -> DataFrame
     postings = tok.select("chunk_id", "dl", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     found = postings.join(weights, "term").crossJoin(F.broadcast(corpus.select("avgdl")))
     gain = F.col("qtf") * F.col("idf") * F.col("tf") * (settings.k1 + 1) / (F.col("tf") + settings.k1 * (1 - settings.b + settings.b * F.col("dl") / F.col("avgdl")))
-    return found.groupBy("query_id", "chunk_id").agg(F.round(F.sum(gain), DIGITS).alias("score"))
+    return found.groupBy("query_id", "chunk_id").agg(F.round(F.sum(gain), BM25_DIGITS).alias("score"))
 
 
 def cosines(chunks: DataFrame, queries: DataFrame) -> DataFrame:
