@@ -1,14 +1,14 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
 The model: for ordered grades 0 < 1 < ... < K, P(grade <= k) = sigmoid(threshold_k - w.x), with one weight vector w
-for all thresholds. x has a one for each distinct word (and pair of neighbouring words) of the text, hashed to
-DIMS places. The result is the expected grade, sum of k * P(grade = k), and `toxic`, whether P(grade >= 1) is at
-least one half.
+for all thresholds. x counts, over the distinct words of a text, the word and its first PREFIXES letters (so
+that forms of a word that training didn't meet are known by their stem). The result is the expected grade,
+sum of k * P(grade = k), and `toxic`, whether P(grade >= 1) is at least one half.
 
 The labels of the corpus are 0 or 1, so the grades of the toxic ones are told apart by how much of the
-text speaks for it: words that are WEIGHT times as frequent in toxic as in other training documents are marked,
-and toxic documents whose marked words are more than the median of all toxic ones get grade 2, the others 1.
-A table that has a column of grades is trained on as it is (`fit`).
+text speaks for it: features that are WEIGHT times as frequent in toxic as in other training documents are
+marked, and toxic documents whose marked features are more than the median of all toxic ones get grade 2,
+the others 1. A table that has a column of grades is trained on as it is (`fit`).
 
 The training set is bounded: the SAMPLE labelled documents with the smallest hash of their id. That is the only
 bounded part; every document is scored, on its whole text.
@@ -20,7 +20,6 @@ grade is 0; several labels of one id count each; empty tables give empty results
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,105 +31,130 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, read
 
-DIMS = 1 << 18
 #: Labelled documents that the model is fitted on at most.
-SAMPLE = 20_000
+SAMPLE = 8_000
+PREFIXES = (4, 5)
 WEIGHT, LEAST = 8.0, 3
+#: Standard errors by which a feature's frequencies in toxic and other documents must differ to be used.
+EVIDENCE = 4.0
 MEMO = 300_000
 _WORDS = regex.compile(r"[\p{L}\p{N}']+")
 
 
-class Featurizer:
-    """Distinct feature places of a text, with a bounded memo of word hashes."""
+def words_of(text: str | None) -> set[str]:
+    return set(_WORDS.findall(text.lower())) if text else set()
 
-    def __init__(self) -> None:
-        self.memo: dict[str, int] = {}
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = _WORDS.findall(text.lower()) if text else []
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        for w in set(words) - memo.keys():
-            memo[w] = xxhash.xxh3_64_intdigest(w)
-        hashes = np.array([memo[w] for w in words], dtype=np.uint64)
-        if len(hashes) > 1:
-            pairs = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]
-            hashes = np.concatenate((hashes, pairs ^ (pairs >> np.uint64(29))))
-        return np.unique(hashes % np.uint64(DIMS)).astype(np.int32)
+def features_of(word: str) -> list[int]:
+    """64-bit hashes of a word's features."""
+    parts = [word, *(f"{word[:n]}\t" for n in PREFIXES if len(word) > n)]
+    return [xxhash.xxh3_64_intdigest(p) for p in parts]
 
 
 class Ordinal:
-    """weights (DIMS) and ascending thresholds (number of grades less one)."""
+    """Ascending features, their weights, and ascending thresholds (number of grades less one)."""
 
-    def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
-        self.weights, self.thresholds = weights.astype(np.float32), thresholds
+    def __init__(self, features: np.ndarray, weights: np.ndarray, thresholds: np.ndarray):
+        self.features, self.weights, self.thresholds = features, weights, thresholds
 
-    def at_least(self, features: np.ndarray) -> np.ndarray:
+    def at_least(self, score: float) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ..."""
-        score = float(self.weights[features].sum(dtype=np.float64)) if len(features) else 0.0
         return 1 / (1 + np.exp(np.clip(self.thresholds - score, -60, 60)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 200, rate: float = 0.3, ridge: float = 2e-5) -> Ordinal:
-    """Fit by full-gradient AdaGrad on the likelihood with a ridge on the weights. Thresholds are kept in order as
-    the first and the logarithms of the gaps."""
-    k = int(grades.max(initial=0))
-    if not len(rows) or k == 0 or grades.min() == k:
-        return Ordinal(np.zeros(DIMS), np.full(max(k, 1), 60.0))
-    sizes = np.array([len(r) for r in rows])
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
+class Scorer:
+    """A text's score, with a bounded memo of the sum of a word's weights."""
+
+    def __init__(self, model: Ordinal):
+        self.weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+        self.memo: dict[str, float] = {}
+
+    def __call__(self, text: str | None) -> float:
+        memo, weight, total = self.memo, self.weight, 0.0
+        for word in sorted(words_of(text)):
+            found = memo.get(word)
+            if found is None:
+                if len(memo) > MEMO:
+                    memo.clear()
+                found = memo[word] = sum(weight.get(f, 0.0) for f in features_of(word))
+            total += found
+        return total
+
+
+def fit(flat: np.ndarray, owner: np.ndarray, grades: np.ndarray, steps: int = 150, rate: float = 0.3, ridge: float = 1e-4) -> Ordinal:
+    """Fit by full-gradient AdaGrad on the likelihood with a ridge on the weights. flat holds the features of all
+    rows and owner their rows; features that are too rare or that tell too
+    little aren't used. Thresholds are kept in
+    order as the first and the logarithms of the gaps."""
+    n, k = len(grades), int(grades.max(initial=0))
+    if k == 0 or grades.min() == k:
+        return Ordinal(flat[:0], np.zeros(0), np.full(max(k, 1), 60.0))
+    places, flat, times = np.unique(flat, return_inverse=True, return_counts=True)
+    # Only features that tell grades above 0 from grade 0 beyond chance; the many rare words would be learned by heart.
+    n_bad = int((grades > 0).sum())
+    bad = np.bincount(flat[(grades > 0)[owner]], minlength=len(places))
+    mean = times / n
+    z = (bad / n_bad - (times - bad) / (n - n_bad)) / np.sqrt(np.maximum(mean * np.maximum(1 - mean, 1 / n), 1e-12) * (1 / n_bad + 1 / (n - n_bad)))
+    often = (times >= LEAST) & (np.abs(z) >= EVIDENCE)
+    number = np.cumsum(often) - 1
+    kept = often[flat]
+    places, flat, owner = places[often], number[flat[kept]], owner[kept]
     share = np.array([(grades >= j).mean() for j in range(1, k + 1)])
     start = np.log((1 - share) / np.maximum(share, 1e-6))
     theta = np.concatenate((start[:1], np.log(np.maximum(np.diff(start), 1e-2))))
-    weights, past_w, past_t = np.zeros(DIMS), np.full(DIMS, 1e-8), np.full(k, 1e-8)
+    weights, past_w, past_t = np.zeros(len(places)), np.full(len(places), 1e-8), np.full(k, 1e-8)
     for _ in range(steps):
         cuts = np.cumsum(np.concatenate((theta[:1], np.exp(theta[1:]))))
-        score = np.bincount(owner, weights=weights[flat], minlength=len(rows))
+        score = np.bincount(owner, weights=weights[flat], minlength=n)
         below = 1 / (1 + np.exp(-np.clip(np.concatenate((cuts, [np.inf]))[grades] - score, -60, 60)))
         under = 1 / (1 + np.exp(-np.clip(np.concatenate(([-np.inf], cuts))[grades] - score, -60, 60)))
         below, under = np.where(grades == k, 1.0, below), np.where(grades == 0, 0.0, under)
         p = np.maximum(below - under, 1e-9)
         d_below, d_under = below * (1 - below) / p, under * (1 - under) / p
-        g_score = (d_below - d_under) / len(rows)
-        g_w = np.bincount(flat, weights=g_score[owner], minlength=DIMS) + ridge * weights
+        g_w = np.bincount(flat, weights=((d_below - d_under) / n)[owner], minlength=len(places)) + ridge * weights
         g_cut = np.zeros(k)
-        np.add.at(g_cut, grades[grades < k], -d_below[grades < k] / len(rows))
-        np.add.at(g_cut, grades[grades > 0] - 1, d_under[grades > 0] / len(rows))
+        np.add.at(g_cut, grades[grades < k], -d_below[grades < k] / n)
+        np.add.at(g_cut, grades[grades > 0] - 1, d_under[grades > 0] / n)
         g_t = np.cumsum(g_cut[::-1])[::-1] * np.concatenate(([1.0], np.exp(theta[1:])))
         past_w += g_w * g_w
         past_t += g_t * g_t
         weights -= rate * g_w / np.sqrt(past_w)
         theta -= rate * g_t / np.sqrt(past_t)
-    return Ordinal(weights, np.cumsum(np.concatenate((theta[:1], np.exp(theta[1:])))))
+    return Ordinal(places, weights, np.cumsum(np.concatenate((theta[:1], np.exp(theta[1:])))))
 
 
-def grades_of(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+def grades_of(flat: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Grades 0, 1, 2 from labels 0 and 1, as the module's text says."""
-    bad, good = Counter(), Counter()
-    for r, t in zip(rows, toxic, strict=True):
-        (bad if t else good).update(r.tolist())
-    n_bad, n_good = max(int(toxic.sum()), 1), max(int((1 - toxic).sum()), 1)
-    marked = {f for f, n in bad.items() if n >= LEAST and n / n_bad >= WEIGHT * (good[f] + 0.5) / n_good}
-    counts = np.array([sum(f in marked for f in r.tolist()) if t else 0 for r, t in zip(rows, toxic, strict=True)])
-    middle = np.median(counts[toxic == 1]) if toxic.any() else 0
-    return np.where(toxic == 0, 0, np.where(counts > middle, 2, 1))
+    if not toxic.any():
+        return toxic
+    flat = np.unique(flat, return_inverse=True)[1]
+    of_toxic = toxic[owner] == 1
+    size = int(flat.max(initial=0)) + 1
+    bad, good = np.bincount(flat[of_toxic], minlength=size), np.bincount(flat[~of_toxic], minlength=size)
+    n_bad, n_good = toxic.sum(), max(int((1 - toxic).sum()), 1)
+    marked = (bad >= LEAST) & (bad / n_bad >= WEIGHT * (good + 0.5) / n_good)
+    counts = np.bincount(owner, weights=marked[flat], minlength=len(toxic))
+    return np.where(toxic == 0, 0, np.where(counts > np.median(counts[toxic == 1]), 2, 1))
 
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    featurizer = Featurizer()
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array([featurizer(t) for t in batch["text"].to_pylist()], pa.list_(pa.int32()))], ["toxic", "features"])
+        found = [np.array([f for w in words_of(t) for f in features_of(w)], dtype=np.uint64).view(np.int64) for t in batch["text"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(found, pa.list_(pa.int64()))], ["toxic", "features"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Ordinal:
     marked = labels.select(F.col(id_col).alias("id_"), F.col(label_col).cast("int").alias("toxic")).where("toxic IS NOT NULL AND id_ IS NOT NULL")
     marked = marked.orderBy(F.xxhash64("id_"), "id_", "toxic").limit(sample)
     texts = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text")).join(F.broadcast(marked), "id_").select("toxic", "text")
-    found = map_batches(texts, _featurize, "toxic int, features array<int>").toArrow()
+    found = map_batches(texts, _featurize, "toxic int, features array<long>").toArrow()
     toxic = found["toxic"].to_numpy().astype(np.int64)
-    rows = [np.asarray(r, dtype=np.int32) for r in found["features"].to_pylist()]
-    return fit(rows, grades_of(rows, toxic))
+    lists = found["features"].combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int64()))
+    flat = lists.flatten().to_numpy().view(np.uint64)
+    owner = np.repeat(np.arange(len(toxic)), np.diff(lists.offsets.to_numpy()))
+    return fit(flat, owner, grades_of(flat, owner, toxic))
 
 
 def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,9 +162,9 @@ def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        featurizer = Featurizer()
+        scorer = Scorer(model)
         for batch in batches:
-            found = [model.at_least(featurizer(t)) for t in batch["text"].to_pylist()]
+            found = [model.at_least(scorer(t)) for t in batch["text"].to_pylist()]
             filled = [bool(t) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array([float(p[0]) for p in found]), pa.array([float(p.sum()) for p in found]), pa.array([f and bool(p[0] >= 0.5) for f, p in zip(filled, found, strict=True)])],
