@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Give the context a checkpoint folder if it has none: the session's spark.checkpoint.dir, or, only where that is
+    unset, a temporary folder in local mode and the shared warehouse on a cluster."""
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        folder = tempfile.mkdtemp(prefix="atlaskb-checkpoints-")
+    context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+
+
 def diff(pages: DataFrame, state: DataFrame) -> DataFrame:
     """(url, hash, status): new, changed or unchanged against the state's hash; pages has url and html."""
     seen = pages.select("url", F.md5("html").alias("hash")).join(state.select("url", F.col("hash").alias("old"), F.lit(True).alias("known")), "url", "left")
@@ -42,6 +56,7 @@ def not_indexed(pages: DataFrame, chunks: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_pages: int = 0) -> DataFrame:
     """(url, depth) of all URLs that links reach from the seeds, breadth first; edges are (src, dst). Each level joins
     only its frontier, and the visited set is checkpointed, so the plan doesn't grow with the depth."""
+    ensure_checkpoints(seeds.sparkSession)
     frontier = seeds.select("url").distinct().withColumn("depth", F.lit(0)).checkpoint()
     visited, depth, n = frontier, 0, frontier.count() if max_pages else 0
     while max_depth is None or depth < max_depth:

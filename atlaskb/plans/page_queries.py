@@ -124,8 +124,6 @@ def cleanup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def link_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of a host are chained by page number, and each page also points ahead by the square of a digit."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/atlaskb-checkpoints")
     n = pages(spark, sf_dir).select("page_id")
     to = F.explode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") + 17))
     edges = n.select(F.col("page_id").cast("string").alias("src"), to.alias("t")).join(n.select(F.col("page_id").alias("t")), "t", "left_semi").select("src", F.col("t").cast("string").alias("dst"))

@@ -40,7 +40,6 @@ def test_crawl_state(spark):
 def test_closure_stops_on_circles_and_limits(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y")], "src string, dst string")
     seeds = spark.createDataFrame([("a",)], "url string")
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     depths = lambda **k: {r.url: r.depth for r in crawl.closure(edges, seeds, **k).collect()}
     assert depths() == {"a": 0, "b": 1, "c": 2, "d": 3}
     assert depths(max_depth=1) == {"a": 0, "b": 1}
