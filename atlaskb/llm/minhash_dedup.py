@@ -9,12 +9,16 @@
    stopping).
 3. Bands of ROWS slots are hashed to buckets. At the least similarity that links (0.85 or 0.8) the chance that
    a pair shares none of BANDS buckets is below 1e-9 and 1e-7.
-4. Verification in rounds, never all pairs of a bucket: in each round every bucket that still holds
-   several components names PIVOTS of its members (those in the largest buckets first), each other member
-   is compared with them on the full sets, and links join components. A pivot has then met its whole
-   bucket and leaves it. A bucket is done when those left are in one component, so no link that could
-   join two components is passed over. Pairs whose sizes exclude the similarity, or which are in one
-   component by now, need no comparison.
+4. Verification on the full sets. Documents that buckets connect are a family. A family of at most FAMILY_ELEMENTS
+   set elements is settled in one task with an inverted index of its sets. Larger ones go by rounds, never all
+   pairs of a bucket: in each round every bucket that still holds several components names pivots among its
+   members (those in the largest buckets first; PIVOTS at most in the first round, twice as many in each
+   next one), each other member is compared with them, and links join components. A pivot has then met its
+   whole bucket and leaves it. A group of near copies is one component after a round, at a cost in proportion
+   to its members. For documents that share buckets and yet don't link, the buckets are narrowed after the
+   first round: they meet again only if they share one of their rarest shingles, as any two that link must. A
+   bucket is done when those left are in one component, so no link that could join two components is passed
+   over. Pairs whose sizes exclude the similarity, or which are in one component by now, need no comparison.
 5. Union-find: each task contracts its links to a forest, then labels spread over the forests' edges by
    alternating large and small stars until nothing changes. Links stay in tables of the shared folder.
 
@@ -38,8 +42,12 @@ from .common import fresh, map_batches, mix, read, stored
 
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
-#: Members of a bucket, at most, that all others are compared with in a round.
+#: Members of a bucket, at most, that all others are compared with in the first round.
 PIVOTS = 2
+#: Set elements of a family of candidates up to which one task compares them; larger families go by rounds.
+FAMILY_ELEMENTS = 400_000
+#: Links that one task contracts.
+LINKS = 300_000
 #: Set elements for which signatures are computed together.
 ELEMENTS = 200_000
 #: Leaves of the two-step counts and joins that spread a large group of equal sets.
@@ -165,6 +173,86 @@ def _verify(percent: int):
     return rows
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(e, dtype=np.int64) for e in batch["elements"].to_pylist()]
+        nodes = np.repeat(batch["node"].to_numpy(), [len(s) for s in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))], ["node", "element"])
+
+
+def settle(nodes: list[int], sets: list[np.ndarray], percent: int) -> dict[int, int]:
+    """The smallest node that links reach, for each node of a family: overlaps by an inverted index."""
+    sizes = np.array([len(s) for s in sets])
+    element = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(element, kind="stable")
+    postings, first = owner[order], np.concatenate(([0], np.cumsum(np.bincount(element))))
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    label = list(range(len(sets)))
+
+    def root(x: int) -> int:
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for i in range(1, len(sets)):
+        mine = element[starts[i] : starts[i + 1]]
+        shared = np.bincount(np.concatenate([postings[first[e] : first[e + 1]] for e in mine.tolist()]), minlength=len(sets))[:i]
+        for j in np.flatnonzero(100 * shared >= percent * (sizes[:i] + sizes[i] - shared)).tolist():
+            x, y = root(i), root(j)
+            if nodes[x] > nodes[y]:
+                x, y = y, x
+            label[y] = x
+    return {n: nodes[root(i)] for i, n in enumerate(nodes)}
+
+
+def _settle(percent: int):
+    """Rows (family, node, elements) that arrive by family."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, nodes, sets = None, [], []
+
+        def done() -> pa.RecordBatch:
+            found = settle(nodes, sets, percent)
+            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], ["node", "label"])
+
+        for batch in batches:
+            for f, n, e in zip(batch["family"].to_pylist(), batch["node"].to_pylist(), batch["elements"].to_pylist(), strict=True):
+                if f != family:
+                    if nodes:
+                        yield done()
+                    family, nodes, sets = f, [], []
+                if not nodes or nodes[-1] != n:  # a document whose row is repeated has one set
+                    nodes.append(n)
+                    sets.append(np.frombuffer(e, dtype=np.uint64))
+        if nodes:
+            yield done()
+
+    return rows
+
+
+def _distinct_buckets(members: DataFrame) -> DataFrame:
+    """Members of buckets, of several buckets with the same members only those of one."""
+    h = F.xxhash64("node")
+    kinds = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(h % 2**31).alias("s"))
+    one = stored(kinds.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket"), "minhash-buckets")
+    return members.join(one, "bucket", "left_semi")
+
+
+def _prefix_buckets(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(bucket, node): the rarest elements of each node's set, as many as must hold one that a similar set also has
+    among its rarest. Passages that many documents share are frequent here, so they bring nobody together."""
+    elements = map_batches(sets.join(nodes, "node", "left_semi"), _elements, "node long, element long")
+    several = stored(elements.groupBy("element").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "minhash-frequencies")
+    known = elements.join(several, "element", "left").select("node", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "element").alias("e"))
+    ordered = known.groupBy("node").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    n = F.size("e")
+    length = n - F.ceil(n * percent / 100).cast("int") + 1
+    kept = ordered.select("node", F.explode(F.slice("e", F.lit(1), length)).alias("e")).where("e.df > 1")
+    return kept.select(F.col("e.element").alias("bucket"), "node")
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over the links of a task: each node with the smallest node that it reaches there."""
     parent: dict[int, int] = {}
@@ -192,13 +280,17 @@ def connected(links: DataFrame) -> DataFrame:
     """(node, label) for every node of links (a, b) that isn't the smallest of its component; label is that."""
     edges = links.select("a", "b")
     while True:
-        forest = stored(edges.repartition("a", "b").mapInArrow(_contract, "node long, root long"), "minhash-forest")
+        # As many tasks as the links need: the more links meet in a task, the fewer rounds are left.
+        tasks = max(1, -(-edges.count() // LINKS))
+        forest = stored(edges.coalesce(tasks).mapInArrow(_contract, "node long, root long"), "minhash-forest")
+        if tasks == 1:
+            return forest.withColumnRenamed("root", "label")
         best = stored(forest.groupBy("node").agg(F.min("root").alias("label")), "minhash-stars")
         across = forest.join(best, "node").where("root <> label").select(F.col("root").alias("a"), F.col("label").alias("b"))
         deeper = best.join(best.select(F.col("node").alias("label")), "label", "left_semi")
         if across.isEmpty() and deeper.isEmpty():
             return best
-        edges = best.select(F.col("node").alias("a"), F.col("label").alias("b")).union(across).distinct()
+        edges = stored(best.select(F.col("node").alias("a"), F.col("label").alias("b")).union(across).distinct(), "minhash-links")
 
 
 def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -213,7 +305,7 @@ def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col
     nodes = sketch.drop("salt", *digest).join(grouped.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
 
     buckets = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "hash")).select("node", "n_shingles", F.xxhash64("band", "hash").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = stored(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "minhash-shared")
     members = stored(buckets.join(shared, "bucket"), "minhash-members")
     ranked = members.groupBy("node").agg(F.sum("members").alias("weight"), F.first("n_shingles").alias("size"))
     ranked = stored(ranked, "minhash-ranked")
@@ -221,15 +313,30 @@ def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col
     texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("text_hash") == F.col("wanted_hash")))
     sets = stored(map_batches(texts.select("node", "text"), _sets(words), "node long, elements binary"), "minhash-sets")
 
-    live = members.select("bucket", "node").join(ranked, "node").withColumn("label", F.col("node"))
-    labels = ranked.select("node", F.col("node").alias("label"))
-    checked = None
-    while True:
+    # Families: what shared buckets connect. Small ones are settled at once, each in one task.
+    heads = members.groupBy("bucket").agg(F.min("node").alias("b"))
+    ties = stored(members.join(heads, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "minhash-ties")
+    family = ranked.join(connected(ties).toDF("node", "head"), "node", "left").select("node", "size", F.coalesce("head", "node").alias("family"))
+    family = stored(family, "minhash-families")
+    elements = stored(family.groupBy("family").agg(F.sum("size").alias("elements")), "minhash-elements")
+    small = family.join(elements.where(F.col("elements") <= FAMILY_ELEMENTS), "family").select("family", "node")
+    gathered = small.join(sets, "node").select("family", "node", "elements").repartition("family").sortWithinPartitions("family", "node")
+    settled = map_batches(gathered, _settle(percent), "node long, label long")
+    labels = ranked.select("node").join(settled, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    labels = stored(labels, "minhash-labels")
+    large = stored(family.join(elements.where(F.col("elements") > FAMILY_ELEMENTS), "family").select("node"), "minhash-large")
+    open_ = members.select("bucket", "node").join(large, "node", "left_semi")
+    live = _distinct_buckets(open_).join(ranked, "node").withColumn("label", F.col("node"))
+    checked, seats = None, PIVOTS
+
+    def unsettled(live: DataFrame) -> DataFrame:
+        """The rows of buckets with several components."""
         several = live.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-        live = stored(live.join(several, "bucket", "left_semi"), "minhash-live")
-        if live.isEmpty():
-            break
-        pivots = live.groupBy("bucket", (F.col("node") % PIVOTS).alias("seat")).agg(F.max(F.struct("weight", -F.col("node"), "size", "label")).alias("p"))
+        return stored(live.join(stored(several, "minhash-several"), "bucket", "left_semi"), "minhash-live")
+
+    live = unsettled(live)
+    while not live.isEmpty():
+        pivots = live.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(seats)).alias("seat")).agg(F.max(F.struct("weight", -F.col("node"), "size", "label")).alias("p"))
         pivots = pivots.select("bucket", (-F.col("p.col2")).alias("pivot"), F.col("p.size").alias("pivot_size"), F.col("p.label").alias("pivot_label"))
         met = live.join(pivots, "bucket").where(
             (F.col("label") != F.col("pivot_label")) & (100 * F.least("size", "pivot_size") >= percent * F.greatest("size", "pivot_size"))
@@ -242,11 +349,17 @@ def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col
         both = pairs.join(sets.toDF("a", "elements_a"), "a").join(sets.toDF("b", "elements_b"), "b")
         links = map_batches(both.select("a", "b", "elements_a", "elements_b"), _verify(percent), "a long, b long")
         across = links.join(labels.toDF("a", "label_a"), "a").join(labels.toDF("b", "label_b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-        moved = connected(stored(across.where("a <> b").distinct(), "minhash-links")).toDF("label", "to")
-        labels = labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-        labels = stored(labels, "minhash-labels")
+        across = stored(across.where("a <> b").distinct(), "minhash-links")
+        if not across.isEmpty():
+            labels = labels.join(connected(across).toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+            labels = stored(labels, "minhash-labels")
         rest = live.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
-        live = rest.drop("label").join(labels, "node")
+        live = unsettled(rest.drop("label").join(labels, "node"))
+        if checked is pairs and not live.isEmpty():
+            narrowed = _prefix_buckets(stored(live.select("node").distinct(), "minhash-open"), sets, percent)
+            narrowed = _distinct_buckets(stored(narrowed, "minhash-prefixes"))
+            live = unsettled(narrowed.join(ranked, "node").join(labels, "node"))
+        seats *= 2
 
     named = labels.join(grouped.select("node", "smallest"), "node")
     named = named.join(named.groupBy("label").agg(F.min("smallest").alias("component")), "label").select("node", "component")
