@@ -162,8 +162,10 @@ def near_texts(seed, n=120):
     return [*texts, (n, None), (n + 1, ""), (n + 2, " \n"), (n + 3, "One"), (n + 4, "oNE")]
 
 
+@pytest.mark.parametrize("family", [0, 3000, 400_000])
 @pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
-def test_near_against_brute_force(spark, words, percent):
+def test_near_against_brute_force(spark, monkeypatch, words, percent, family):
+    monkeypatch.setattr(minhash_dedup, "FAMILY_ELEMENTS", family)
     texts = near_texts(words)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.components(table(spark, texts), words, percent).collect()}
     assert got == brute_components(texts, words, percent)
@@ -196,7 +198,9 @@ def test_superminhash_estimates_similarity():
     assert (one[1] <= one[0]).all()
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("links", [9, 10**6])
+def test_connected_components(spark, monkeypatch, links):
+    monkeypatch.setattr(minhash_dedup, "LINKS", links)
     rnd = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(rnd.randrange(100, 200), rnd.randrange(100, 200)) for _ in range(80)]
     got = {r.node: r.label for r in minhash_dedup.connected(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
