@@ -262,12 +262,15 @@ def _sort_runs(length: int, first: bool):
 
 
 def _weighed(runs: DataFrame) -> DataFrame:
-    """Distinct runs of keys: the occurrences and the first of them, and the distinct runs of the key."""
+    """Distinct runs of keys: the occurrences and the first of them, and the distinct runs of the key. Each side of a
+    join is a table of its own, so that adaptive execution can split a key with many runs."""
     entries = runs.groupBy("key", "body_hash").agg(
         F.count(F.lit(1)).alias("occurrences"), F.max("repeated").alias("repeated_"), F.min(F.struct("doc_id", "text_hash", "start")).alias("first_")
     )
-    keys = entries.groupBy("key").agg(F.count(F.lit(1)).alias("distinct_"))
-    return entries.join(keys, "key").where("occurrences > 1 OR distinct_ > 1")
+    entries = stored(entries, "suffix-entries")
+    keys = stored(entries.groupBy("key").agg(F.count(F.lit(1)).alias("distinct_")).where("distinct_ > 1"), "suffix-keys")
+    weighed = entries.join(keys, "key", "left").where("occurrences > 1 OR distinct_ IS NOT NULL")
+    return stored(weighed.withColumn("distinct_", F.coalesce("distinct_", F.lit(1))), "suffix-weighed")
 
 
 def _is_first() -> Column:
@@ -283,7 +286,7 @@ def spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", id_col: str
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     owner = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_hash long"
     runs = stored(map_batches(source, _find_runs(length), f"{owner}, {_RUN}"), "suffix-runs")
-    shared = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    shared = stored(runs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "suffix-repeated")
     runs = stored(runs.join(shared, "key", "left_semi").withColumn("repeated", F.lit(False)), "suffix-shared")
 
     def level(runs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -305,7 +308,7 @@ def spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", id_col: str
     bodies = stored(bodies, "suffix-bodies")
     width = length - gram_bytes(length) + 1
     while True:
-        sizes = bodies.groupBy("key").agg(F.count(F.lit(1)).alias("n_"))
+        sizes = stored(bodies.groupBy("key").agg(F.count(F.lit(1)).alias("n_")), "suffix-sizes")
         small = bodies.join(sizes.where(F.col("n_") <= GROUP), "key").drop("n_")
         gathered = small.repartition("key").sortWithinPartitions("key", "doc_id", "text_hash", "start")
         found.append(stored(map_batches(gathered, _sort_runs(length, first), f"{owner}, low int, high int"), "suffix-spans"))
