@@ -42,8 +42,10 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A log of JSON lines without its malformed lines."""
-    found = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return found.where(F.col("_corrupt").isNull() | F.col("_corrupt").eqNullSafe(F.lit(""))).drop("_corrupt")
+    # Parsed from text, as a reader of JSON files refuses queries on the corrupt column alone.
+    parsed = F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    lines = spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("p"))
+    return lines.where("p._corrupt IS NULL").select("p.*").drop("_corrupt")
 
 
 def append_log(rows: DataFrame, path: str) -> None:
