@@ -20,7 +20,7 @@
    bucket is done when those left are in one component, so no link that could join two components is passed
    over. Pairs whose sizes exclude the similarity, or which are in one component by now, need no comparison.
 5. Union-find: each task contracts its links to a forest, then labels spread over the forests' edges by
-   alternating large and small stars until nothing changes. Links stay in tables of the shared folder.
+   hooking to the smallest neighbour and jumping chains to their ends, in rounds that each end. Links stay in tables of the shared folder.
 
 Defined results: a null or empty text (or one of white space only) has no shingles, links with nothing and is its
 own component; a text with fewer words than a shingle is one shingle; rows repeated in full are in
@@ -276,21 +276,40 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "root"])
 
 
+def _jumped(best: DataFrame) -> DataFrame:
+    """best (node, label) with every label replaced by the label's own, until none has one: each pass halves the chains."""
+    while True:
+        ahead = best.join(best.toDF("label", "next"), "label", "left")
+        best = stored(ahead.select("node", F.coalesce("next", "label").alias("label"), F.col("next").isNotNull().alias("moved")), "minhash-stars")
+        moved = not best.where("moved").isEmpty()
+        best = best.select("node", "label")
+        if not moved:
+            return best
+
+
 def connected(links: DataFrame) -> DataFrame:
-    """(node, label) for every node of links (a, b) that isn't the smallest of its component; label is that."""
-    edges = links.select("a", "b")
+    """(node, label) for every node of links (a, b) that isn't the smallest of its component; label is that.
+
+    Links that one task can hold are contracted there. More go by rounds: tasks shorten their shares, each node that has
+    a smaller neighbour hooks to the smallest, chains are jumped to their ends, and the ends go on with the links between
+    them. A node that stays for two rounds has taken in a neighbour of its own, so two rounds at least halve the
+    nodes that still have links, however the links are dealt."""
+    edges, levels = links.select("a", "b"), []
     while True:
         # As many tasks as the links need: the more links meet in a task, the fewer rounds are left.
         tasks = max(1, -(-edges.count() // LINKS))
         forest = stored(edges.coalesce(tasks).mapInArrow(_contract, "node long, root long"), "minhash-forest")
         if tasks == 1:
-            return forest.withColumnRenamed("root", "label")
-        best = stored(forest.groupBy("node").agg(F.min("root").alias("label")), "minhash-stars")
-        across = forest.join(best, "node").where("root <> label").select(F.col("root").alias("a"), F.col("label").alias("b"))
-        deeper = best.join(best.select(F.col("node").alias("label")), "label", "left_semi")
-        if across.isEmpty() and deeper.isEmpty():
-            return best
-        edges = stored(best.select(F.col("node").alias("a"), F.col("label").alias("b")).union(across).distinct(), "minhash-links")
+            labels = forest.withColumnRenamed("root", "label")
+            break
+        best = _jumped(stored(forest.groupBy("node").agg(F.min("root").alias("label")), "minhash-hooks"))
+        levels.append(best)
+        ends = forest.join(best.toDF("node", "a"), "node").join(best.toDF("root", "end"), "root", "left").select("a", F.coalesce("end", "root").alias("b"))
+        edges = stored(ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "minhash-links")
+    for best in reversed(levels):
+        lower = best.join(labels.toDF("label", "end"), "label", "left").select("node", F.coalesce("end", "label").alias("label"))
+        labels = stored(lower.union(labels), "minhash-ends")
+    return labels
 
 
 def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:

@@ -209,3 +209,28 @@ def test_connected_components(spark, monkeypatch, links):
         for a, b in edges:
             parent[a] = parent[b] = min(parent[a], parent[b])
     assert got == {x: p for x, p in parent.items() if x != p}
+
+
+def test_connected_ends_when_no_two_links_meet(spark, monkeypatch):
+    """A path whose links are each in a task of its own, so that only the rounds join them."""
+    monkeypatch.setattr(minhash_dedup, "LINKS", 1)
+    whole, calls = minhash_dedup.stored, []
+
+    def counted(df, name):
+        calls.append(name)
+        assert len(calls) < 60, "rounds don't end"
+        return whole(df, name)
+
+    monkeypatch.setattr(minhash_dedup, "stored", counted)
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64", "spark.sql.files.openCostInBytes": "128m"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        edges = [(i + 1, i) for i in range(1, 9)] + [(20, 21), (22, 21), (22, 23)]
+        frame = spark.createDataFrame(spark.sparkContext.parallelize(edges, len(edges)), "a long, b long")
+        got = {r.node: r.label for r in minhash_dedup.connected(frame).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == {i: 1 for i in range(2, 10)} | {i: 20 for i in (21, 22, 23)}
