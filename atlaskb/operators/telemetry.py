@@ -95,14 +95,27 @@ def lru_hits(keys: list[str], entries: int = 200) -> list[bool]:
     return out
 
 
+#: Line numbers of a range, in which a window carries time stamps forward; between ranges only the last stamps go on.
+RANGE = 10_000
+
+
+def _carried(lines: DataFrame, own: Column) -> DataFrame:
+    """lines with `ts`: the stamp of the line or of the last one before it that had any, else an empty text."""
+    ranged = lines.withColumn("own_", F.nullif(own, F.lit(""))).withColumn("range_", F.expr(f"line_no DIV {RANGE}"))
+    last = ranged.groupBy("range_").agg(F.max_by("own_", F.when(F.col("own_").isNotNull(), F.col("line_no"))).alias("last_"))
+    # One row a range, so one partition orders them.
+    before = F.last("last_", ignorenulls=True).over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1))
+    within = F.last("own_", ignorenulls=True).over(Window.partitionBy("range_").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    filled = ranged.withColumn("within_", within).join(last.select("range_", before.alias("before_")), "range_", "left")
+    return filled.withColumn("ts", F.coalesce("within_", "before_", F.lit(""))).drop("own_", "range_", "within_", "before_")
+
+
 def crawl_events(lines: DataFrame) -> DataFrame:
     """Events of the sync log's lines (line_no, line): type, label, chunks or pages, with the time of the line or of the
     last one that had any. A store size is reported the first time it is met only."""
     stamp = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}):\d{2},\d+ \[INFO\] (.+)$"
     own = F.regexp_extract("line", stamp, 1)
     text = F.trim(F.when(own != "", F.regexp_extract("line", stamp, 2)).otherwise(F.col("line")))
-    # One log is one sequence, a few hundred marked lines a night, so one partition orders it.
-    filled = F.coalesce(F.last(F.nullif(own, F.lit("")), ignorenulls=True).over(Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)), F.lit(""))
     number = lambda pattern, i=1: F.expr("null").cast("long") if pattern is None else F.nullif(F.regexp_extract(text, pattern, i), F.lit("")).cast("long")
     current, total = number(r"\[HTML (\d+)/(\d+)\]"), number(r"\[HTML (\d+)/(\d+)\]", 2)
     kind = (
@@ -111,8 +124,8 @@ def crawl_events(lines: DataFrame) -> DataFrame:
         .when(current.isNotNull(), F.when(current == total, "html_done").otherwise("html"))
         .when(number(r"\[PDF (\d+)/(\d+)\]").isNotNull(), "pdf")
     )
-    events = lines.select(
-        "line_no", filled.alias("ts"), kind.alias("type"),
+    events = _carried(lines, own).select(
+        "line_no", "ts", kind.alias("type"),
         F.when(kind == "vs_loaded", number(r"(\d+) chunk")).alias("chunks"),
         F.when(kind.isin("html", "html_done"), current).when(kind == "pdf", number(r"\[PDF (\d+)/(\d+)\]")).alias("current"),
         F.when(kind.isin("html", "html_done"), total).when(kind == "pdf", number(r"\[PDF (\d+)/(\d+)\]", 2)).alias("total"),
@@ -122,8 +135,8 @@ def crawl_events(lines: DataFrame) -> DataFrame:
         .when(F.col("type") == "vs_loaded", F.concat(F.lit("Vector store: "), F.format_number("chunks", 0), F.lit(" chunk")))
         .when(F.col("type") == "html_done", F.concat(F.lit("HTML: "), F.format_number("total", 0), F.lit(" pagine completate")))
     )
-    first = F.row_number().over(Window.partitionBy("type", "chunks").orderBy("line_no"))
-    return events.withColumn("label", label).withColumn("seen", first).where("type <> 'vs_loaded' OR seen = 1").drop("seen")
+    met = events.where("type = 'vs_loaded'").groupBy("chunks").agg(F.min_by(F.struct(*events.columns), "line_no").alias("e")).select("e.*")
+    return events.where("type <> 'vs_loaded'").union(met).withColumn("label", label)
 
 
 def crawl_history(lines: DataFrame, n: int = 20) -> DataFrame:

@@ -1,4 +1,7 @@
+from datetime import datetime, timedelta
+
 from atlaskb.operators import crawl, embedding, evaluation, store, telemetry
+from atlaskb.plans import log_queries
 
 ROW = "chunk_id string, source string, title string, doc_type string, chunk_index int, text string, embedding array<float>"
 
@@ -82,3 +85,31 @@ def test_crawl_history(spark):
         ("2024-01-02 03:05", "html_done", "HTML: 2 pagine completate"), ("2024-01-02 03:07", "crawl_end", "Crawl HTML completato"),
     ]
     assert {(r.kind, r.current, r.total) for r in telemetry.crawl_progress(log).collect()} == {("html", 2, 2), ("pdf", 1, 4)}
+
+
+def test_crawl_queries_read_the_whole_log(spark, tmp_path, monkeypatch):
+    """More than 2,000 events, against a sequential pass."""
+    monkeypatch.setattr(telemetry, "RANGE", 7, raising=False)
+    spark.range(2600).selectExpr("id AS event_id", "timestamp_seconds(1704067200 + id * 60) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    ts, met, shown, seen = "", set(), [], {}
+    for i in range(2600):
+        if i % 5 != 1:
+            ts = (datetime(2024, 1, 1) + timedelta(minutes=i)).strftime("%Y-%m-%d %H:%M")
+        if i % 5 == 0 and i % 70 * 100 not in met:
+            met.add(i % 70 * 100)
+            shown.append((i, ts, "vs_loaded", f"Vector store: {i % 70 * 100:,} chunk"))
+        elif i % 5 == 1:
+            shown.append((i, ts, "crawl_end", "Crawl HTML completato"))
+        elif i % 10 == 2:
+            shown.append((i, ts, "html_done", f"HTML: {i:,} pagine completate"))
+        if i % 5 in (2, 3):
+            seen["pdf" if i % 5 == 3 else "html"] = (ts, i, i if i % 10 == 2 else 99999)
+    assert [tuple(r) for r in log_queries.crawl_history(spark, str(tmp_path)).collect()] == shown[-20:]
+    assert {r.kind: (r.ts, r.current, r.total) for r in log_queries.crawl_progress(spark, str(tmp_path)).collect()} == seen
+
+
+def test_stamps_are_carried_over_ranges_without_any(spark, monkeypatch):
+    monkeypatch.setattr(telemetry, "RANGE", 10, raising=False)
+    stamp = "2024-01-01 0{}:00:00,000 [INFO] nothing"
+    log = spark.createDataFrame([(1, "=== Crawl"), (4, stamp.format(1)), (37, "=== Crawl"), (58, "=== Crawl"), (59, stamp.format(2)), (60, "=== Crawl")], "line_no long, line string")
+    assert sorted((r.line_no, r.ts) for r in telemetry.crawl_events(log).collect()) == [(1, ""), (37, "2024-01-01 01:00"), (58, "2024-01-01 01:00"), (60, "2024-01-01 02:00")]
