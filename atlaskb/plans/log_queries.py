@@ -18,7 +18,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' questions in sequence."""
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.substring("text", 1, 12).alias("question"))
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("text").alias("question"))
 
 
 def query_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = telemetry.cache_hits(talk(spark, sf_dir).withColumn("question", F.substring("question", 1, 3)))
+    found = telemetry.cache_hits(talk(spark, sf_dir))
     return found.agg(F.count(F.lit(1)).alias("requests"), F.count_if("hit").alias("hits"))
 
 

@@ -113,3 +113,13 @@ def test_stamps_are_carried_over_ranges_without_any(spark, monkeypatch):
     stamp = "2024-01-01 0{}:00:00,000 [INFO] nothing"
     log = spark.createDataFrame([(1, "=== Crawl"), (4, stamp.format(1)), (37, "=== Crawl"), (58, "=== Crawl"), (59, stamp.format(2)), (60, "=== Crawl")], "line_no long, line string")
     assert sorted((r.line_no, r.ts) for r in telemetry.crawl_events(log).collect()) == [(1, ""), (37, "2024-01-01 01:00"), (58, "2024-01-01 01:00"), (60, "2024-01-01 02:00")]
+
+
+def test_questions_are_counted_and_cached_whole(spark, tmp_path):
+    said = [
+        (1, 1, "user", "How do I reach the office?"), (1, 2, "assistant", "By bus."), (1, 3, "user", "how do I  reach the office"), (2, 1, "user", "How do I reach the bank?"),
+        (3, 1, "user", " how do I reach the bank? "), (4, 1, "user", "How do I reach the office?"), (5, 1, "user", "How do I pay?"),
+    ]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [tuple(r) for r in log_queries.query_freq(spark, str(tmp_path)).collect()] == [("how do i reach the office", 3), ("how do i reach the bank", 2), ("how do i pay", 1)]
+    assert tuple(log_queries.cache_hits(spark, str(tmp_path)).first()) == (6, 2)
