@@ -19,12 +19,13 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_short_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that need no split, which SQL can express; chunk_all has all of them."""
     found = chunking.chunk(docs(spark, sf_dir).where(F.length("text") <= 1200))
     return found.select("source", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("chunk_total").cast("long").alias("chunk_total"), F.md5("text").alias("text_md5"))
 
 
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk(docs(spark, sf_dir).where(F.length("text") <= 1200)).select("source", "chunk_id")
+    return chunking.chunk(docs(spark, sf_dir)).select("source", "chunk_id")
 
 
 def chunk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
