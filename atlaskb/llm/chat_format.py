@@ -1,7 +1,8 @@
 """Chat formatting with linked tool calls, in DataFrame operations only.
 
 Every message of a conversation becomes one or more nodes. An assistant message that is a JSON object with
-`tool_calls` (objects with id, name, arguments, depends_on) gives a call for each; a message of role `tool` that is
+`tool_calls` (objects with id, name, arguments, depends_on) gives a call for each and, if it also has content, one
+more node with that, which stands alone; a message of role `tool` that is
 a JSON object with `tool_call_id` gives that call's result. In plain conversations the request is the call:
 a user's message calls `ask` with its text as argument, and the assistant's message in the next turn is its
 result; other messages stand alone.
@@ -59,6 +60,8 @@ def nodes(messages: DataFrame) -> DataFrame:
         F.when(F.schema_of_variant(of("$.arguments", "variant")) == "STRING", F.coalesce(canonical(as_text), given)).otherwise(given).alias("arguments"),
         none.alias("content"), of("$.depends_on", "array<string>").alias("depends_on"),
     )
+    said = F.coalesce(get("$.content", "string"), F.to_json(F.when(F.schema_of_variant(get("$.content", "variant")) != "VOID", get("$.content", "variant"))))
+    spoken = rows.where(F.size("calls") > 0).select("conv_id", "turn", "role", F.lit("message").alias("kind"), none.alias("call_id"), none.alias("name"), none.alias("arguments"), said.alias("content"), no_deps.alias("depends_on"))
     turn_id = lambda t: F.concat(F.lit("turn:"), t.cast("string"))
     asks, answers = F.col("role") == "user", F.col("role") == "assistant"
     single = rows.where(F.coalesce(F.size("calls"), F.lit(0)) <= 0).select(
@@ -70,7 +73,7 @@ def nodes(messages: DataFrame) -> DataFrame:
         F.when(F.col("result_of").isNotNull(), F.coalesce(get("$.content", "string"), F.to_json(get("$.content", "variant")))).when(~F.coalesce(asks, F.lit(False)), F.col("text")).alias("content"),
         no_deps.alias("depends_on"),
     )
-    return explicit.select(_NODE).unionByName(single.select(_NODE))
+    return explicit.select(_NODE).unionByName(spoken.where("content <> ''").select(_NODE)).unionByName(single.select(_NODE))
 
 
 def positions(turns: DataFrame) -> DataFrame:

@@ -222,6 +222,15 @@ def test_chat_tool_calls(spark):
     assert json.loads(next(r.json for r in rows if r.kind == "result" and r.call_id == "a"))["content"] == '{"b":2,"k":1}'
 
 
+def test_chat_content_beside_tool_calls_is_kept(spark):
+    called = lambda **more: json.dumps({"tool_calls": [{"id": "a", "name": "get", "arguments": {}}, {"id": "b", "name": "get", "arguments": {}}], **more})
+    rows = chats(spark, [(i, 0, "assistant", called(**more)) for i, more in enumerate([{"content": "Let me look."}, {"content": None}, {}, {"content": ""}, {"content": [{"text": "x"}]}])])
+    assert len([r for r in rows if r.kind == "call"]) == 10
+    said = {r.conv_id: r for r in rows if r.kind == "message"}
+    assert sorted(said) == [0, 4] and said[0].json == '{"content":"Let me look.","role":"assistant","turn":0}' and not said[0].linked
+    assert json.loads(said[4].json)["content"] == '[{"text":"x"}]'
+
+
 def test_chat_edge_cases(spark):
     rows = chats(spark, [(1, 0, "system", "s"), (1, 1, "user", None), (1, 2, "assistant", "{not json"), (1, 4, "assistant", "x"), (2, 0, "user", ""), (2, 0, "user", ""), (None, 0, "user", "q"), (3, None, "user", "q"), (4, 0, None, "n")])
     assert len(rows) == 9
