@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,11 +10,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows per Arrow batch sent to a Python worker. Texts are whole, so the batch must stay small
-#: enough for a worker even when every row in it is a very long document.
-BATCH_ROWS = 512
-#: Bytes after which Spark closes an Arrow batch early (rows of very long documents).
-BATCH_BYTES = 16 << 20
+#: Rows and bytes, at most, of the part of an Arrow batch that an operator turns into Python objects at once
+#: (a single longer row is a part of its own). Spark itself closes a batch at 64 MB.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+#: Has Spark delete the shuffle files of a query when the query ends.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -24,47 +23,59 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches of whole texts within a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir, or, only where that is unset,
-    the context's checkpoint folder, a local folder (local mode) or the warehouse (a cluster)."""
-    if root := spark.conf.get("spark.checkpoint.dir", None):
-        return root
-    context = spark.sparkContext
-    if root := context.getCheckpointDir():
-        return root
-    if context.master == "local" or context.master.startswith("local["):
-        root = tempfile.mkdtemp(prefix="atlaskb-scratch-")
-    else:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    context.setCheckpointDir(root)
-    return context.getCheckpointDir()
+    the context's checkpoint folder or the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
+
+
+class Scratch:
+    """The intermediate tables of one computation, in the shared folder.
+
+    put() cuts the lineage: a lost executor then costs a read of the table, not a recomputation, and what isn't
+    deterministic (row ids) is fixed. drop() deletes tables that nothing will read again; end() stores the result and
+    deletes all others. What is left goes when the driver ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name = spark, name
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{scratch_root(self.spark)}/{self.name}-{name}-{uuid.uuid4().hex}"
+        _written.append((self.spark, path))
+        write(df, path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((table, path))
+        return table
+
+    def drop(self, *frames: DataFrame | None) -> None:
+        for frame in frames:
+            for entry in [t for t in self.tables if t[0] is frame]:
+                self.tables.remove(entry)
+                _written.remove((self.spark, entry[1]))
+                _delete(self.spark, entry[1])
+
+    def end(self, df: DataFrame, name: str = "result") -> DataFrame:
+        result = self.put(df, name)
+        self.drop(*[t for t, _ in self.tables if t is not result])
+        return result
+
+
+def write(df: DataFrame, path: str) -> None:
+    """Write df as Parquet; its shuffle files go as soon as it is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN_UP, None)
+    conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(_CLEAN_UP) if before is None else conf.set(_CLEAN_UP, before)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df to the shared scratch folder and read it back. A lost executor then costs
-    a read of the table, not a recomputation, and what is not deterministic (row ids) is fixed."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(*frames: DataFrame) -> None:
-    """Delete tables made by stored() that nothing will read again."""
-    for frame in frames:
-        spark = frame.sparkSession
-        for found in frame.inputFiles()[:1]:
-            for entry in list(_written):
-                if entry[1].rpartition("/")[2] in found:
-                    _delete(spark, entry[1])
-                    _written.remove(entry)
+    """df as a table of its own in the shared folder."""
+    return Scratch(df.sparkSession, "table").put(df, name)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -84,8 +95,14 @@ def _sweep() -> None:
 
 
 def map_batches(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    bounded_batches(df.sparkSession)
-    return df.mapInArrow(rows, schema)
+    """df.mapInArrow with batches small enough for a worker even when every row is a very long document."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = max(1, min(BATCH_ROWS, batch.num_rows * BATCH_BYTES // max(batch.nbytes, 1)))
+            yield from (batch.slice(at, n) for at in range(0, batch.num_rows, n))
+
+    return df.mapInArrow(lambda batches: rows(parts(batches)), schema)
 
 
 def fresh(df: DataFrame, stem: str) -> str:

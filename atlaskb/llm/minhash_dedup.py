@@ -9,21 +9,27 @@
    stopping).
 3. Bands of ROWS slots are hashed to buckets. At the least similarity that links (0.85 or 0.8) the chance that
    a pair shares none of BANDS buckets is below 1e-9 and 1e-7.
-4. Verification on the full sets. Documents that buckets connect are a family. A family of at most FAMILY_ELEMENTS
-   set elements is settled in one task with an inverted index of its sets. Larger ones go by rounds, never all
-   pairs of a bucket: in each round every bucket that still holds several components names pivots among its
+4. Narrowing, before any comparison: a shingle that no other candidate has can't be shared, so a document's `common`
+   shingles bound its overlap with all others. A document with too few of them links with nothing and leaves; a
+   pair whose commons bound its similarity below the limit is never compared.
+5. Verification on the full sets goes by rounds, never all pairs of a bucket, and is the same for groups of all
+   sizes: in each round every bucket that still holds several components names pivots among its
    members (those in the largest buckets first; PIVOTS at most in the first round, twice as many in each
    next one), each other member is compared with them, and links join components. A pivot has then met its
    whole bucket and leaves it. A group of near copies is one component after a round, at a cost in proportion
-   to its members. For documents that share buckets and yet don't link, the buckets are narrowed after the
-   first round: they meet again only if they share one of their rarest shingles, as any two that link must. A
+   to its members. A pivot's set is sent once for each PART members that it meets, and a member's once for each of its
+   pivots. For documents that share buckets and yet don't link, the buckets are narrowed again after the
+   first round: they meet only if they share one of their rarest shingles, as any two that link must. A
    bucket is done when those left are in one component, so no link that could join two components is passed
-   over. Pairs whose sizes exclude the similarity, or which are in one component by now, need no comparison.
-5. Union-find: each task contracts its links to a forest, then labels spread over the forests' edges by
+   over.
+6. Union-find: each task contracts its links to a forest, then labels spread over the forests' edges by
    hooking to the smallest neighbour and jumping chains to their ends, in rounds that each end. Links stay in tables of the shared folder.
 
+Tables of a round are deleted as soon as the next is written, and shuffle files with the query that made them.
+
 Defined results: a null or empty text (or one of white space only) has no shingles, links with nothing and is its
-own component; a text with fewer words than a shingle is one shingle; rows repeated in full are in
+own component; a text with fewer words than a shingle is one shingle; a very long text is one set, which must fit a task's
+memory (8 bytes a distinct shingle); equal weights name the pivot with the smallest node; rows repeated in full are in
 one component and `kept` is true for each; a null id is never the smallest unless all are null; empty tables
 give empty results; further columns are ignored by `components` and carried by `dedup`.
 """
@@ -38,14 +44,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, map_batches, mix, read, stored
+from .common import Scratch, fresh, map_batches, mix, read
 
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 #: Members of a bucket, at most, that all others are compared with in the first round.
 PIVOTS = 2
-#: Set elements of a family of candidates up to which one task compares them; larger families go by rounds.
-FAMILY_ELEMENTS = 400_000
+#: Members that a pivot meets in one task.
+PART = 512
 #: Links that one task contracts.
 LINKS = 300_000
 #: Set elements for which signatures are computed together.
@@ -158,95 +164,62 @@ def _sets(words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array([shingler(t).tobytes() for t in batch["text"].to_pylist()], pa.binary())], ["node", "elements"])
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array([shingler(t).view(np.int64) for t in batch["text"].to_pylist()], pa.list_(pa.int64()))], ["node", "elements"])
 
     return rows
 
 
-def _verify(percent: int):
+def _meet(percent: int):
+    """The links among rows (pivot, part, node, elements), which arrive by pivot and part, the pivot's own set first with
+    a null node. Only that set is held."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            one, two = (batch[c].to_pylist() for c in ("elements_a", "elements_b"))
-            good = [similar(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent) for x, y in zip(one, two, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            good, lists = [], batch["elements"]
+            for i, node in enumerate(batch["node"].to_pylist()):
+                elements = lists[i].values.to_numpy()
+                if node is None:
+                    held = elements
+                good.append(node is not None and similar(held, elements, percent))
+            yield batch.select(["pivot", "node"]).filter(pa.array(good, pa.bool_()))
 
     return rows
 
 
-def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [np.frombuffer(e, dtype=np.int64) for e in batch["elements"].to_pylist()]
-        nodes = np.repeat(batch["node"].to_numpy(), [len(s) for s in sets])
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))], ["node", "element"])
-
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (pivot, node) among pairs (pivot, node)."""
+    parts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    heads = parts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("node"), F.col("pivot").alias("whose"))
+    members = pairs.join(parts, "pivot").select("pivot", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", F.col("node").alias("whose"))
+    met = heads.union(members).join(sets.withColumnRenamed("node", "whose"), "whose").repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.col("node").asc_nulls_first())
+    return map_batches(met.select("pivot", "part", "node", "elements"), _meet(percent), "pivot long, node long")
 
-def settle(nodes: list[int], sets: list[np.ndarray], percent: int) -> dict[int, int]:
-    """The smallest node that links reach, for each node of a family: overlaps by an inverted index."""
-    sizes = np.array([len(s) for s in sets])
-    element = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(element, kind="stable")
-    postings, first = owner[order], np.concatenate(([0], np.cumsum(np.bincount(element))))
-    starts = np.concatenate(([0], np.cumsum(sizes)))
-    label = list(range(len(sets)))
 
-    def root(x: int) -> int:
-        while label[x] != x:
-            label[x] = label[label[x]]
-            x = label[x]
-        return x
-
-    for i in range(1, len(sets)):
-        mine = element[starts[i] : starts[i + 1]]
-        shared = np.bincount(np.concatenate([postings[first[e] : first[e + 1]] for e in mine.tolist()]), minlength=len(sets))[:i]
-        for j in np.flatnonzero(100 * shared >= percent * (sizes[:i] + sizes[i] - shared)).tolist():
-            x, y = root(i), root(j)
-            if nodes[x] > nodes[y]:
-                x, y = y, x
-            label[y] = x
-    return {n: nodes[root(i)] for i, n in enumerate(nodes)}
-
-
-def _settle(percent: int):
-    """Rows (family, node, elements) that arrive by family."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, nodes, sets = None, [], []
-
-        def done() -> pa.RecordBatch:
-            found = settle(nodes, sets, percent)
-            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], ["node", "label"])
-
-        for batch in batches:
-            for f, n, e in zip(batch["family"].to_pylist(), batch["node"].to_pylist(), batch["elements"].to_pylist(), strict=True):
-                if f != family:
-                    if nodes:
-                        yield done()
-                    family, nodes, sets = f, [], []
-                if not nodes or nodes[-1] != n:  # a document whose row is repeated has one set
-                    nodes.append(n)
-                    sets.append(np.frombuffer(e, dtype=np.uint64))
-        if nodes:
-            yield done()
-
-    return rows
-
-
-def _distinct_buckets(members: DataFrame) -> DataFrame:
+def _distinct_buckets(members: DataFrame, scratch: Scratch) -> DataFrame:
     """Members of buckets, of several buckets with the same members only those of one."""
     h = F.xxhash64("node")
     kinds = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(h % 2**31).alias("s"))
-    one = stored(kinds.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket"), "minhash-buckets")
+    one = scratch.put(kinds.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket"), "buckets")
     return members.join(one, "bucket", "left_semi")
 
 
-def _prefix_buckets(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _common(ranked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """ranked with `common`, the number of a node's elements that another node has too; without nodes that have too few."""
+    elements = sets.select("node", F.explode("elements").alias("element"))
+    alone = elements.groupBy("element").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
+    alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    known = ranked.join(alone, "node", "left").withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0)))
+    return known.drop("alone").where(100 * F.col("common") >= percent * F.col("size"))
+
+
+def _prefix_buckets(nodes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(bucket, node): the rarest elements of each node's set, as many as must hold one that a similar set also has
     among its rarest. Passages that many documents share are frequent here, so they bring nobody together."""
-    elements = map_batches(sets.join(nodes, "node", "left_semi"), _elements, "node long, element long")
-    several = stored(elements.groupBy("element").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "minhash-frequencies")
+    elements = sets.join(nodes, "node", "left_semi").select("node", F.explode("elements").alias("element"))
+    several = scratch.put(elements.groupBy("element").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequencies")
     known = elements.join(several, "element", "left").select("node", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "element").alias("e"))
-    ordered = known.groupBy("node").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    ordered = known.groupBy("node").agg(F.array_sort(F.collect_set("e")).alias("e"))
     n = F.size("e")
     length = n - F.ceil(n * percent / 100).cast("int") + 1
     kept = ordered.select("node", F.explode(F.slice("e", F.lit(1), length)).alias("e")).where("e.df > 1")
@@ -276,18 +249,18 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "root"])
 
 
-def _jumped(best: DataFrame) -> DataFrame:
+def _jumped(best: DataFrame, scratch: Scratch) -> DataFrame:
     """best (node, label) with every label replaced by the label's own, until none has one: each pass halves the chains."""
     while True:
-        ahead = best.join(best.toDF("label", "next"), "label", "left")
-        best = stored(ahead.select("node", F.coalesce("next", "label").alias("label"), F.col("next").isNotNull().alias("moved")), "minhash-stars")
-        moved = not best.where("moved").isEmpty()
-        best = best.select("node", "label")
-        if not moved:
+        ahead = best.select("node", "label").join(best.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left")
+        moved = scratch.put(ahead.select("node", F.coalesce("next", "label").alias("label"), F.col("next").isNotNull().alias("moved")), "stars")
+        scratch.drop(best)
+        best = moved
+        if best.where("moved").isEmpty():
             return best
 
 
-def connected(links: DataFrame) -> DataFrame:
+def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label) for every node of links (a, b) that isn't the smallest of its component; label is that.
 
     Links that one task can hold are contracted there. More go by rounds: tasks shorten their shares, each node that has
@@ -298,95 +271,102 @@ def connected(links: DataFrame) -> DataFrame:
     while True:
         # As many tasks as the links need: the more links meet in a task, the fewer rounds are left.
         tasks = max(1, -(-edges.count() // LINKS))
-        forest = stored(edges.coalesce(tasks).mapInArrow(_contract, "node long, root long"), "minhash-forest")
+        forest = scratch.put(edges.coalesce(tasks).mapInArrow(_contract, "node long, root long"), "forest")
+        scratch.drop(edges)
         if tasks == 1:
             labels = forest.withColumnRenamed("root", "label")
             break
-        best = _jumped(stored(forest.groupBy("node").agg(F.min("root").alias("label")), "minhash-hooks"))
-        levels.append(best)
+        hooks = scratch.put(forest.groupBy("node").agg(F.min("root").alias("label")), "hooks")
+        levels.append(_jumped(hooks, scratch))
+        best = levels[-1].select("node", "label")
         ends = forest.join(best.toDF("node", "a"), "node").join(best.toDF("root", "end"), "root", "left").select("a", F.coalesce("end", "root").alias("b"))
-        edges = stored(ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "minhash-links")
-    for best in reversed(levels):
+        edges = scratch.put(ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        scratch.drop(forest)
+    while levels:
+        best = levels.pop()
         lower = best.join(labels.toDF("label", "end"), "label", "left").select("node", F.coalesce("end", "label").alias("label"))
-        labels = stored(lower.union(labels), "minhash-ends")
+        ends = scratch.put(lower.union(labels), "ends")
+        scratch.drop(best, labels)
+        labels = ends
     return labels
 
 
 def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    scratch = Scratch(docs.sparkSession, "minhash")
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     sketch = map_batches(source, _sketch(words), f"doc_id {kind}, text_hash long, n_shingles long, set_high long, set_low long, bands array<long>")
-    sketch = stored(sketch.withColumn("row", F.monotonically_increasing_id()), "minhash-sketch").withColumn("salt", (F.col("row") % SALTS).cast("int"))
+    sketch = scratch.put(sketch.withColumn("row", F.monotonically_increasing_id()), "sketch")
     digest = ["set_high", "set_low"]
-    salted = sketch.where("n_shingles > 0").groupBy(*digest, "salt").agg(F.min("row").alias("row"), F.min("doc_id").alias("smallest"))
-    grouped = salted.groupBy(*digest).agg(F.min("row").alias("node"), F.min("smallest").alias("smallest"))
-    grouped = stored(grouped, "minhash-nodes")
-    nodes = sketch.drop("salt", *digest).join(grouped.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+    rows = sketch.drop("bands").withColumn("salt", (F.col("row") % SALTS).cast("int"))
+    salted = rows.where("n_shingles > 0").groupBy(*digest, "salt").agg(F.min("row").alias("row"), F.min("doc_id").alias("smallest"))
+    grouped = scratch.put(salted.groupBy(*digest).agg(F.min("row").alias("node"), F.min("smallest").alias("smallest")), "nodes")
+    nodes = sketch.drop(*digest).join(grouped.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
 
     buckets = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "hash")).select("node", "n_shingles", F.xxhash64("band", "hash").alias("bucket"))
-    shared = stored(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "minhash-shared")
-    members = stored(buckets.join(shared, "bucket"), "minhash-members")
-    ranked = members.groupBy("node").agg(F.sum("members").alias("weight"), F.first("n_shingles").alias("size"))
-    ranked = stored(ranked, "minhash-ranked")
+    shared = scratch.put(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
+    members = scratch.put(buckets.join(shared, "bucket"), "members")
+    scratch.drop(shared)
+    ranked = scratch.put(members.groupBy("node").agg(F.sum("members").alias("weight"), F.first("n_shingles").alias("size")), "ranked")
     wanted = nodes.join(ranked.select("node"), "node", "left_semi").select("node", F.col("doc_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash"))
     texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("text_hash") == F.col("wanted_hash")))
-    sets = stored(map_batches(texts.select("node", "text"), _sets(words), "node long, elements binary"), "minhash-sets")
-
-    # Families: what shared buckets connect. Small ones are settled at once, each in one task.
-    heads = members.groupBy("bucket").agg(F.min("node").alias("b"))
-    ties = stored(members.join(heads, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "minhash-ties")
-    family = ranked.join(connected(ties).toDF("node", "head"), "node", "left").select("node", "size", F.coalesce("head", "node").alias("family"))
-    family = stored(family, "minhash-families")
-    elements = stored(family.groupBy("family").agg(F.sum("size").alias("elements")), "minhash-elements")
-    small = family.join(elements.where(F.col("elements") <= FAMILY_ELEMENTS), "family").select("family", "node")
-    gathered = small.join(sets, "node").select("family", "node", "elements").repartition("family").sortWithinPartitions("family", "node")
-    settled = map_batches(gathered, _settle(percent), "node long, label long")
-    labels = ranked.select("node").join(settled, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    labels = stored(labels, "minhash-labels")
-    large = stored(family.join(elements.where(F.col("elements") > FAMILY_ELEMENTS), "family").select("node"), "minhash-large")
-    open_ = members.select("bucket", "node").join(large, "node", "left_semi")
-    live = _distinct_buckets(open_).join(ranked, "node").withColumn("label", F.col("node"))
-    checked, seats = None, PIVOTS
+    sets = scratch.put(map_batches(texts.select("node", "text"), _sets(words), "node long, elements array<long>"), "sets")
+
+    labels = scratch.put(ranked.select("node", F.col("node").alias("label")), "labels")
+    worth = scratch.put(_common(ranked, sets, percent), "worth")
+    scratch.drop(ranked)
+    open_ = members.select("bucket", "node").join(worth.select("node"), "node", "left_semi")
+    live, checked, seats = _distinct_buckets(open_, scratch).join(worth, "node").withColumn("label", F.col("node")), [], PIVOTS
 
     def unsettled(live: DataFrame) -> DataFrame:
         """The rows of buckets with several components."""
-        several = live.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-        return stored(live.join(stored(several, "minhash-several"), "bucket", "left_semi"), "minhash-live")
+        ends = live.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        several = scratch.put(ends.where("low <> high").select("bucket"), "several")
+        rest = scratch.put(live.join(several, "bucket", "left_semi"), "live")
+        scratch.drop(several)
+        return rest
 
     live = unsettled(live)
+    scratch.drop(members)
     while not live.isEmpty():
-        pivots = live.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(seats)).alias("seat")).agg(F.max(F.struct("weight", -F.col("node"), "size", "label")).alias("p"))
-        pivots = pivots.select("bucket", (-F.col("p.col2")).alias("pivot"), F.col("p.size").alias("pivot_size"), F.col("p.label").alias("pivot_label"))
-        met = live.join(pivots, "bucket").where(
-            (F.col("label") != F.col("pivot_label")) & (100 * F.least("size", "pivot_size") >= percent * F.greatest("size", "pivot_size"))
-        )
-        pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "minhash-pairs")
-        checked = pairs if checked is None else checked.union(pairs)
-        both = pairs.join(sets.toDF("a", "elements_a"), "a").join(sets.toDF("b", "elements_b"), "b")
-        links = map_batches(both.select("a", "b", "elements_a", "elements_b"), _verify(percent), "a long, b long")
-        across = links.join(labels.toDF("a", "label_a"), "a").join(labels.toDF("b", "label_b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-        across = stored(across.where("a <> b").distinct(), "minhash-links")
+        pivots = live.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(seats)).alias("seat")).agg(F.max(F.struct("weight", -F.col("node"), "size", "common", "label")).alias("p"))
+        pivots = pivots.select("bucket", (-F.col("p.col2")).alias("pivot"), F.col("p.size").alias("pivot_size"), F.col("p.common").alias("pivot_common"), F.col("p.label").alias("pivot_label"))
+        pivots = scratch.put(pivots, "pivots")
+        most = (100 + percent) * F.least("common", "pivot_common") >= percent * (F.col("size") + F.col("pivot_size"))
+        met = live.join(pivots, "bucket").where((F.col("label") != F.col("pivot_label")) & most)
+        pairs = met.groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.max(F.struct("weight", "pivot")).alias("p"))
+        pairs = pairs.select("a", "b", F.col("p.pivot").alias("pivot"))
+        for done in checked:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = scratch.put(pairs, "pairs")
+        checked.append(pairs.select("a", "b"))
+        links = _compared(pairs.select("pivot", F.when(F.col("pivot") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node")), sets, percent)
+        across = links.join(labels.toDF("pivot", "a"), "pivot").join(labels.toDF("node", "b"), "node").select("a", "b")
+        across = scratch.put(across.where("a <> b").distinct(), "links")
         if not across.isEmpty():
-            labels = labels.join(connected(across).toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-            labels = stored(labels, "minhash-labels")
+            to = connected(across, scratch)
+            moved = labels.join(to.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+            moved = scratch.put(moved, "labels")
+            scratch.drop(labels, to)
+            labels = moved
+        scratch.drop(across)
         rest = live.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
-        live = unsettled(rest.drop("label").join(labels, "node"))
-        if checked is pairs and not live.isEmpty():
-            narrowed = _prefix_buckets(stored(live.select("node").distinct(), "minhash-open"), sets, percent)
-            narrowed = _distinct_buckets(stored(narrowed, "minhash-prefixes"))
-            live = unsettled(narrowed.join(ranked, "node").join(labels, "node"))
+        before, live = live, unsettled(rest.drop("label").join(labels, "node"))
+        scratch.drop(before, pivots)
+        if len(checked) == 1 and not live.isEmpty():
+            narrowed = _prefix_buckets(scratch.put(live.select("node").distinct(), "open"), sets, percent, scratch)
+            narrowed = _distinct_buckets(scratch.put(narrowed, "prefixes"), scratch)
+            before, live = live, unsettled(narrowed.join(worth, "node").join(labels, "node"))
+            scratch.drop(before)
         seats *= 2
 
     named = labels.join(grouped.select("node", "smallest"), "node")
     named = named.join(named.groupBy("label").agg(F.min("smallest").alias("component")), "label").select("node", "component")
     whole = grouped.join(named, "node", "left").select(*digest, F.coalesce("component", "smallest").alias("component"))
     down = salted.select(*digest, "salt").join(whole, digest)
-    found = sketch.drop("bands", "row").join(down, [*digest, "salt"], "left")
+    found = rows.drop("row").join(down, [*digest, "salt"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return scratch.end(found.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_batches, mix, read
+from .common import map_batches, mix, read
 
 SIZE, END, DIMS, BITS = 4096, 2, 3, 10
 #: Places of the hashed document vector, and bytes of a gram.
@@ -227,7 +227,6 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                         room, offset = lengths[0] if lengths else 0, 0
             yield out(done, kind)
 
-    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     keyed = map_batches(source, key, f"doc_id {kind}, key long, text string")

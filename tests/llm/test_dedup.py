@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from atlaskb.llm import exact_dedup, minhash_dedup, registry, suffix_dedup
+from atlaskb.llm.common import Scratch
 
 from ..oracle import DATA, expected, rows_of
 
@@ -162,10 +163,9 @@ def near_texts(seed, n=120):
     return [*texts, (n, None), (n + 1, ""), (n + 2, " \n"), (n + 3, "One"), (n + 4, "oNE")]
 
 
-@pytest.mark.parametrize("family", [0, 3000, 400_000])
-@pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
-def test_near_against_brute_force(spark, monkeypatch, words, percent, family):
-    monkeypatch.setattr(minhash_dedup, "FAMILY_ELEMENTS", family)
+@pytest.mark.parametrize(("words", "percent", "part"), [(3, 85, 3), (5, 80, 512)])
+def test_near_against_brute_force(spark, monkeypatch, words, percent, part):
+    monkeypatch.setattr(minhash_dedup, "PART", part)
     texts = near_texts(words)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.components(table(spark, texts), words, percent).collect()}
     assert got == brute_components(texts, words, percent)
@@ -203,7 +203,7 @@ def test_connected_components(spark, monkeypatch, links):
     monkeypatch.setattr(minhash_dedup, "LINKS", links)
     rnd = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(rnd.randrange(100, 200), rnd.randrange(100, 200)) for _ in range(80)]
-    got = {r.node: r.label for r in minhash_dedup.connected(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    got = {r.node: r.label for r in minhash_dedup.connected(spark.createDataFrame(edges, "a long, b long").repartition(7), Scratch(spark, "test")).collect()}
     parent = {x: x for e in edges for x in e}
     for _ in parent:
         for a, b in edges:
@@ -214,14 +214,14 @@ def test_connected_components(spark, monkeypatch, links):
 def test_connected_ends_when_no_two_links_meet(spark, monkeypatch):
     """A path whose links are each in a task of its own, so that only the rounds join them."""
     monkeypatch.setattr(minhash_dedup, "LINKS", 1)
-    whole, calls = minhash_dedup.stored, []
+    calls = []
 
-    def counted(df, name):
-        calls.append(name)
-        assert len(calls) < 60, "rounds don't end"
-        return whole(df, name)
+    class Counted(Scratch):
+        def put(self, df, name):
+            calls.append(name)
+            assert len(calls) < 60, "rounds don't end"
+            return super().put(df, name)
 
-    monkeypatch.setattr(minhash_dedup, "stored", counted)
     held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64", "spark.sql.files.openCostInBytes": "128m"}
     before = {k: spark.conf.get(k, None) for k in held}
     try:
@@ -229,7 +229,7 @@ def test_connected_ends_when_no_two_links_meet(spark, monkeypatch):
             spark.conf.set(k, v)
         edges = [(i + 1, i) for i in range(1, 9)] + [(20, 21), (22, 21), (22, 23)]
         frame = spark.createDataFrame(spark.sparkContext.parallelize(edges, len(edges)), "a long, b long")
-        got = {r.node: r.label for r in minhash_dedup.connected(frame).collect()}
+        got = {r.node: r.label for r in minhash_dedup.connected(frame, Counted(spark, "test")).collect()}
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
