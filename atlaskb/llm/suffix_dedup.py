@@ -3,24 +3,29 @@
 A suffix array of the corpus can't be in one place, so it is built in pieces that are sure to hold all equal
 windows (strings of `length` bytes) together:
 
-1. Every window has a minimizer: the leftmost smallest hash of its GRAM-byte substrings. Neighbouring windows
-   with the same minimizer make a run; equal windows have equal minimizers, so only runs with the same
-   minimizer hash (`key`) can hold equal windows. Keys met once are dropped.
-2. Runs with identical bytes are one entry from here on; its further occurrences repeat it whole.
+1. Every window has a minimizer: the smallest hash of its GRAM-byte substrings (`key`). Neighbouring windows
+   with the same key make a run, however long, so a periodic text is one run and not one for each byte. Equal windows have
+   equal keys, so only runs with the same key can hold equal windows. A key met once is dropped, unless its run has
+   several minimizers (`multi`) and may repeat itself.
+2. Runs with identical bytes are one string from here on; each further occurrence has a longest previous factor that
+   reaches `length` everywhere, by being a copy.
 3. The distinct runs of a key are fetched and laid end to end, in order of (doc_id, start). On that text the
-   suffix order is built by prefix doubling to exactly `length` bytes. In suffix order, windows that share
-   `length` bytes are an interval, and a window's longest previous factor reaches `length` if, in that interval,
-   a smaller position is before or after it (previous and next smaller positions). The longest next factor is
-   its mirror image.
-4. A key with more than GROUP distinct runs is not gathered: its runs are cut into some FAN shorter ones, by the
+   suffix order is built by prefix doubling to exactly `length` bytes, with the longest common prefixes of
+   neighbours. The longest previous factor of a window is the longer of its common prefixes with the previous and the
+   next smaller position in suffix order; the longest next factor is its mirror image, with larger positions. A window
+   whose factor reaches `length` is a repeat.
+4. A key with more than GROUP_BYTES of distinct runs is not gathered: its runs are cut into some FAN shorter ones, by the
    minimizer's place in the window, whose key is the hash of the bytes that all windows of such a cell share,
-   and go through 2 to 4 again. In cells of one place the key is the window's own hash, so this ends after a few
-   rounds, whatever the group's size.
+   and go through 2 to 4 again. In cells of one place the key is the window's own hash, so that equal windows are
+   equal strings and need no sorting; this ends after a few rounds, whatever the group's size.
+
+Tables are deleted as soon as the next is written, and shuffle files with the query that made them.
 
 keep="first" removes what has an earlier occurrence (by doc_id, then position) and keeps the first;
 keep="none" removes every occurrence.
 
-Defined results: a null text counts as empty; texts shorter than `length` keep all; a null id sorts first; rows
+Defined results: a null text counts as empty; texts shorter than `length` keep all; very long texts are read whole, in
+segments; a null id sorts first; rows
 repeated in full are copies of each other, and as they can't be told apart, keep="first" keeps all of them;
 an empty table gives an empty result; further columns are ignored by `spans` and carried by `clean`.
 """
@@ -35,15 +40,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, map_batches, mix, read, stored
+from .common import Scratch, fresh, map_batches, mix, read
 
 LENGTH = 400
-#: Distinct runs of a key up to which one task gathers them; beyond, they are cut into some FAN shorter runs.
-GROUP, FAN = 512, 4
+#: Bytes of a key's distinct runs up to which one task gathers them; beyond, they are cut into some FAN shorter runs.
+GROUP_BYTES, FAN = 1 << 19, 4
 #: Bytes of runs that are sorted together, and windows of a text that are hashed together.
 BIN_BYTES, SEGMENT = 1 << 20, 1 << 20
 
-_RUN = "key long, body_hash long, start int, windows int"
+_RUN = "key long, body_hash long, start int, windows int, multi boolean"
 
 
 def gram_bytes(length: int) -> int:
@@ -68,20 +73,26 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - size)], values[width - size :]) if width > size else values
 
 
-def minimizer_runs(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, first window and number of windows of the runs of a text."""
-    gram = gram_bytes(length)
-    keys, starts, counts = [], [], []
-    low = np.uint64((1 << 21) - 1)
+def minimizers(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of at most SEGMENT windows: the hash and the place of its minimizer, the leftmost of equals."""
+    gram, low = gram_bytes(length), np.uint64((1 << 21) - 1)
+    hashes = gram_hashes(data, gram)
+    placed = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
+    at = (sliding_min(placed, length - gram + 1) & low).astype(np.int64)
+    return hashes[at], at
+
+
+def minimizer_runs(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, first window and number of windows of the runs of a text, and whether they have several minimizers."""
+    keys, starts, counts, multi = [], [], [], []
     for base in range(0, len(data) - length + 1, SEGMENT):
-        hashes = gram_hashes(data[base : base + SEGMENT + length - 1], gram)
-        placed = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
-        at = (sliding_min(placed, length - gram + 1) & low).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        keys.append(hashes[at[first]])
+        key, at = minimizers(data[base : base + SEGMENT + length - 1], length)
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        keys.append(key[first])
         starts.append(first + base)
-        counts.append(np.diff(np.append(first, len(at))))
-    return np.concatenate(keys), np.concatenate(starts), np.concatenate(counts)
+        counts.append(np.diff(np.append(first, len(key))))
+        multi.append(at[first] != at[np.append(first[1:], len(at)) - 1])
+    return np.concatenate(keys), np.concatenate(starts), np.concatenate(counts), np.concatenate(multi)
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -90,7 +101,7 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 def suffix_order(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of the suffixes at `starts` by their first `length` bytes, then by position, and for each
-    place in that order whether it shares all `length` bytes with the place before it."""
+    place in that order the bytes, `length` at most, that it shares with the place before it."""
     padded = np.concatenate((text, np.zeros(8, dtype=np.uint8))).astype(np.uint64)
     n, depth = len(text), 8
     if length >= depth:
@@ -100,26 +111,66 @@ def suffix_order(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
     else:
         packed, depth = padded[:n], 1
     rank = np.unique(packed, return_inverse=True)[1].astype(np.uint64)
+    ranks = [(depth, rank.astype(np.uint32))]
     while depth * 2 <= length:
         behind = np.zeros_like(rank)
         behind[: n - depth] = rank[depth:]
         rank = np.unique(rank << np.uint64(32) | behind, return_inverse=True)[1].astype(np.uint64)
         depth *= 2
+        ranks.append((depth, rank.astype(np.uint32)))
     pair = rank[starts] << np.uint64(32) | rank[starts + (length - depth)]
     order = np.argsort(pair, kind="stable")
     placed = pair[order]
-    return order, np.concatenate(([False], placed[1:] == placed[:-1]))
-
-
-def factors(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window start (ascending): whether its longest previous factor, and its longest next factor,
-    reach `length`. Within an interval of the suffix order that shares `length` bytes the positions ascend,
-    so the previous smaller position is the neighbour before, and the next larger one the neighbour after."""
-    order, shares = suffix_order(text, starts, length)
-    before, after = np.zeros(len(starts), dtype=bool), np.zeros(len(starts), dtype=bool)
-    before[order] = shares
-    after[order[:-1]] = shares[1:]
-    return before, after
+    # Common prefixes of unequal neighbours: in strides of each depth, largest first, then byte by byte.
+    differ = np.flatnonzero(placed[1:] != placed[:-1])
+    one, two = starts[order[differ]], starts[order[differ + 1]]
+    shared = np.zeros(len(differ), dtype=np.int64)
+    for stride, by in [*reversed(ranks), *([(1, text)] * (ranks[0][0] - 1))]:
+        go = np.flatnonzero(shared + stride <= length)
+        same = go[by[one[go] + shared[go]] == by[two[go] + shared[go]]]
+        shared[same] += stride
+    common = np.full(len(order), length, dtype=np.int64)
+    common[:1] = 0
+    common[differ + 1] = shared
+    return order, common
+
+
+def previous_smaller(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each place of a suffix order: the bytes it shares with the nearest place before it that has a smaller position,
+    0 if there is none. All places follow their links back at once; those met have larger positions, so their
+    links are shortcuts."""
+    n = len(position)
+    link, shared = np.arange(-1, n - 1), common.copy()
+    shared[:1] = 0
+    open_ = np.flatnonzero((link >= 0) & (shared > 0))
+    open_ = open_[position[link[open_]] > position[open_]]
+    while len(open_):
+        met = link[open_]
+        shared[open_] = np.minimum(shared[open_], shared[met])
+        link[open_] = link[met]
+        open_ = open_[(link[open_] >= 0) & (shared[open_] > 0)]
+        open_ = open_[position[link[open_]] > position[open_]]
+    return shared
+
+
+def longest_factors(order: np.ndarray, common: np.ndarray, length: int, later: bool = False) -> np.ndarray:
+    """For each window (by position): the longest string, `length` at most, that starts there and at a smaller position
+    too, or, if `later`, at a larger one.
+
+    Windows that share all `length` bytes stand together in ascending order, so each has a smaller position beside it
+    but the first. For the firsts, the previous and next smaller positions among all firsts decide."""
+    group = np.cumsum(np.concatenate(([False], common[1:] < length)))
+    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    ends = np.append(first[1:], len(order)) - 1
+    one = ends if later else first
+    position, between = order[one], common[first]
+    if later:
+        position = len(order) - position
+    back = previous_smaller(position, between)
+    ahead = previous_smaller(position[::-1], np.concatenate(([0], between[:0:-1])))[::-1]
+    out = np.full(len(order), length, dtype=np.int64)
+    out[order[one]] = np.maximum(back, ahead)
+    return out
 
 
 def _flat_runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,60 +182,75 @@ def _flat_runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _find_runs(length: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, keys, bodies, starts, counts = [], [], [], [], []
+            take, keys, bodies, starts, counts, multi = [], [], [], [], [], []
             for i, text in enumerate(batch["text"].to_pylist()):
                 data = (text or "").encode()
                 if len(data) < length:
                     continue
-                k, s, n = minimizer_runs(np.frombuffer(data, dtype=np.uint8), length)
+                k, s, n, m = minimizer_runs(np.frombuffer(data, dtype=np.uint8), length)
                 keys.append(_signed(k))
                 starts.append(s)
                 counts.append(n)
-                bodies += [xxhash.xxh3_64_intdigest(data[a : a + m]) for a, m in zip(s.tolist(), (n + length - 1).tolist(), strict=True)]
+                multi.append(m)
+                bodies += [xxhash.xxh3_64_intdigest(data[a : a + z]) for a, z in zip(s.tolist(), (n + length - 1).tolist(), strict=True)]
                 take.append(np.full(len(s), i))
             if take:
                 at = pa.array(np.concatenate(take))
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].take(at), batch["text_hash"].take(at), pa.array(np.concatenate(keys)), pa.array(_signed(np.array(bodies, dtype=np.uint64))), pa.array(np.concatenate(starts), pa.int32()), pa.array(np.concatenate(counts), pa.int32())],
-                    ["doc_id", "text_hash", "key", "body_hash", "start", "windows"],
+                    [batch["doc_id"].take(at), batch["text_hash"].take(at), pa.array(np.concatenate(keys)), pa.array(_signed(np.array(bodies, dtype=np.uint64))), pa.array(np.concatenate(starts), pa.int32()), pa.array(np.concatenate(counts), pa.int32()), pa.array(np.concatenate(multi))],
+                    ["doc_id", "text_hash", "key", "body_hash", "start", "windows", "multi"],
                 )
 
     return rows
 
 
-def anchor(body: bytes, length: int) -> int:
-    """Where the minimizer of a run's windows starts in the run's bytes."""
-    hashes = gram_hashes(np.frombuffer(body, dtype=np.uint8), gram_bytes(length))
-    low = np.uint64((1 << 21) - 1)
-    return int(((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)).argmin())
+def cells(body: bytes, windows: int, length: int, width: int) -> list[tuple[int, int, int, bool]]:
+    """The parts (first window, number of windows, key, whether they have several minimizers) of a run, cut wherever the minimizer's place in the window falls into
+    another cell of `width` places, so that equal windows have parts of the same key. The key is the hash of the bytes
+    that all windows of the cell share, whether or not the run has them all; neighbouring parts of one key are one."""
+    last = length - gram_bytes(length)
+    _, at = minimizers(np.frombuffer(body, dtype=np.uint8), length)
+    shift = last - (at[:windows] - np.arange(windows))  # of a window, counted from the one that ends with its minimizer
+    cell = shift // width
+    first = np.flatnonzero(np.concatenate(([True], (at[1:windows] != at[: windows - 1]) | (cell[1:] != cell[:-1]))))
+    parts: list[tuple[int, int, int, bool]] = []
+    for a, b in zip(first.tolist(), np.append(first[1:], windows).tolist(), strict=True):
+        zero, c = a - int(shift[a]), int(cell[a])
+        low, high = zero + min((c + 1) * width - 1, last), zero + c * width + length
+        key = xxhash.xxh3_64_intdigest(body[max(low, 0) : high], seed=c)
+        if parts and parts[-1][2] == key:
+            parts[-1] = (parts[-1][0], b - parts[-1][0], key, True)
+        else:
+            parts.append((a, b - a, key, False))
+    return parts
 
 
-def _cut_runs(length: int, width: int):
-    """Cut each run at every `width` places of the minimizer in the window, so that equal windows fall into the same
-    cell. The key of a part is the hash of the bytes that all windows of the cell share, whether or not the run
-    has them all."""
-    last = length - gram_bytes(length)
+def _cut_runs(length: int, width: int, first: bool):
+    """Cut runs into cells. In cells of one place a part is one window that repeats itself: it goes on as that window, and
+    what it repeats is `certain`."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, keys, hashes, starts, counts, bodies = [], [], [], [], [], []
-            for i, (start, n, body) in enumerate(zip(batch["start"].to_pylist(), batch["windows"].to_pylist(), batch["body"].to_pylist(), strict=True)):
-                shift = last - anchor(body, length)  # of the first window, counted from the one that ends with its minimizer
-                for cell in range(shift // width, (shift + n - 1) // width + 1):
-                    a, b = max(cell * width - shift, 0), min((cell + 1) * width - shift, n)
-                    part = body[a : b - 1 + length]
-                    core = body[min((cell + 1) * width - 1, last) - shift : cell * width - shift + length]
+            take, fields = [], []
+            for i, (start, n, body, repeated) in enumerate(zip(*(batch[c].to_pylist() for c in ("start", "windows", "body", "repeated")), strict=True)):
+                for a, m, key, multi in cells(body, n, length, width):
+                    key -= key >> 63 << 64
+                    if width == 1 and m > 1:
+                        if not repeated:
+                            take.append(i)
+                            fields.append((key, 0, start + a + first, m - first, False, None, False, True))
+                        m, again, multi = 1, repeated or not first, False
+                    else:
+                        again = repeated
+                    part = body[a : a + m - 1 + length]
                     take.append(i)
-                    keys.append(xxhash.xxh3_64_intdigest(core, seed=cell))
-                    hashes.append(xxhash.xxh3_64_intdigest(part))
-                    starts.append(start + a)
-                    counts.append(b - a)
-                    bodies.append(part)
+                    fields.append((key, xxhash.xxh3_64_intdigest(part) - (1 << 63), start + a, m, multi, part, again, False))
             at = pa.array(take, pa.int64())
-            as_long = lambda x: pa.array(_signed(np.array(x, dtype=np.uint64)))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.bool_(), pa.bool_()]
+            columns = zip(*fields, strict=True) if fields else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].take(at), batch["text_hash"].take(at), as_long(keys), as_long(hashes), pa.array(starts, pa.int32()), pa.array(counts, pa.int32()), pa.array(bodies, pa.binary()), batch["repeated"].take(at)],
-                ["doc_id", "text_hash", "key", "body_hash", "start", "windows", "body", "repeated"],
+                [batch["doc_id"].take(at), batch["text_hash"].take(at), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                ["doc_id", "text_hash", "key", "body_hash", "start", "windows", "multi", "body", "repeated", "certain"],
             )
 
     return rows
@@ -227,8 +293,10 @@ def _sort_runs(length: int, first: bool):
         row = np.repeat(np.arange(len(counts)), counts)
         ahead = np.concatenate(([0], np.cumsum(counts)[:-1]))
         within = np.arange(len(row)) - ahead[row]
-        before, after = factors(text, at[row] + within, length)
-        hit = before if first else (before | after) & ~table["repeated"].to_numpy()[row]
+        order, common = suffix_order(text, at[row] + within, length)
+        hit = longest_factors(order, common, length) >= length
+        if not first:
+            hit = (hit | (longest_factors(order, common, length, later=True) >= length)) & ~table["repeated"].to_numpy()[row]
         # A stretch must not go on into the next run: give each run a place of its own.
         spaced = np.zeros(len(row) + len(counts), dtype=bool)
         spaced[np.arange(len(row)) + row] = hit
@@ -261,16 +329,18 @@ def _sort_runs(length: int, first: bool):
     return rows
 
 
-def _weighed(runs: DataFrame) -> DataFrame:
+def _weighed(runs: DataFrame, scratch: Scratch) -> DataFrame:
     """Distinct runs of keys: the occurrences and the first of them, and the distinct runs of the key. Each side of a
     join is a table of its own, so that adaptive execution can split a key with many runs."""
     entries = runs.groupBy("key", "body_hash").agg(
-        F.count(F.lit(1)).alias("occurrences"), F.max("repeated").alias("repeated_"), F.min(F.struct("doc_id", "text_hash", "start")).alias("first_")
+        F.count(F.lit(1)).alias("occurrences"), F.max("repeated").alias("repeated_"), F.max("multi").alias("multi_"), F.min(F.struct("doc_id", "text_hash", "start")).alias("first_")
     )
-    entries = stored(entries, "suffix-entries")
-    keys = stored(entries.groupBy("key").agg(F.count(F.lit(1)).alias("distinct_")).where("distinct_ > 1"), "suffix-keys")
-    weighed = entries.join(keys, "key", "left").where("occurrences > 1 OR distinct_ IS NOT NULL")
-    return stored(weighed.withColumn("distinct_", F.coalesce("distinct_", F.lit(1))), "suffix-weighed")
+    entries = scratch.put(entries, "entries")
+    keys = scratch.put(entries.groupBy("key").agg(F.count(F.lit(1)).alias("distinct_")).where("distinct_ > 1"), "keys")
+    weighed = entries.join(keys, "key", "left").where("occurrences > 1 OR distinct_ IS NOT NULL OR multi_")
+    weighed = scratch.put(weighed.withColumn("distinct_", F.coalesce("distinct_", F.lit(1))), "weighed")
+    scratch.drop(entries, keys)
+    return weighed
 
 
 def _is_first() -> Column:
@@ -281,49 +351,59 @@ def spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", id_col: str
     """doc_id, text_hash and the byte spans [low, high) to remove, which may overlap."""
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
-    first = keep == "first"
+    first, scratch = keep == "first", Scratch(docs.sparkSession, "suffix")
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     owner = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_hash long"
-    runs = stored(map_batches(source, _find_runs(length), f"{owner}, {_RUN}"), "suffix-runs")
-    shared = stored(runs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "suffix-repeated")
-    runs = stored(runs.join(shared, "key", "left_semi").withColumn("repeated", F.lit(False)), "suffix-shared")
-
-    def level(runs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-        """The spans that are repeated whole, and the distinct runs that must be compared."""
-        weighed = runs.join(_weighed(runs), ["key", "body_hash"])
+    every = scratch.put(map_batches(source, _find_runs(length), f"{owner}, {_RUN}"), "runs")
+    met = every.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("multi").alias("multi"))
+    shared = scratch.put(met.where("n > 1 OR multi").select("key"), "repeated")
+    runs = scratch.put(every.join(shared, "key", "left_semi").withColumn("repeated", F.lit(False)), "shared")
+    scratch.drop(every, shared)
+    found: list[DataFrame] = []
+    reach = (F.col("start") + F.col("windows") + F.lit(length - 1)).alias("high")
+
+    def level(runs: DataFrame, columns: list[str]) -> DataFrame:
+        """The distinct runs that must be compared; notes the spans that are repeated whole."""
+        entries = _weighed(runs, scratch)
+        weighed = runs.join(entries, ["key", "body_hash"])
         whole = F.col("occurrences") > 1
         covered = whole & ~_is_first() if first else (whole | F.col("repeated_")) & ~F.col("repeated")
-        out = weighed.where(covered).select("doc_id", "text_hash", F.col("start").alias("low"), (F.col("start") + F.col("windows") + F.lit(length - 1)).alias("high"))
-        again = weighed.where((F.col("distinct_") > 1) & _is_first())
-        return out, again.select(*columns, (F.lit(False) if first else whole | F.col("repeated_")).alias("repeated"), "distinct_")
+        found.append(scratch.put(weighed.where(covered).select("doc_id", "text_hash", F.col("start").alias("low"), reach), "covered"))
+        again = weighed.where(((F.col("distinct_") > 1) | F.col("multi_")) & _is_first())
+        again = scratch.put(again.select(*columns, (F.lit(False) if first else whole | F.col("repeated_")).alias("repeated")), "again")
+        scratch.drop(runs, entries)
+        return again
 
     place = ["doc_id", "text_hash", "key", "start", "windows"]
-    covered, again = level(runs, place)
-    found = [stored(covered, "suffix-covered")]
+    again = level(runs, place)
     wanted = again.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("key", "start", "windows", "repeated")).alias("runs"))
     wanted = wanted.withColumnsRenamed({"doc_id": "doc_id_", "text_hash": "text_hash_"})
     once = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("text_hash") == F.col("text_hash_"))).drop("doc_id_", "text_hash_")
     bodies = map_batches(once, _fetch_bodies(length), f"{owner}, key long, start int, windows int, body binary, repeated boolean")
-    bodies = stored(bodies, "suffix-bodies")
+    bodies = scratch.put(bodies, "bodies")
+    scratch.drop(again)
     width = length - gram_bytes(length) + 1
     while True:
-        sizes = stored(bodies.groupBy("key").agg(F.count(F.lit(1)).alias("n_")), "suffix-sizes")
-        small = bodies.join(sizes.where(F.col("n_") <= GROUP), "key").drop("n_")
+        sizes = scratch.put(bodies.groupBy("key").agg(F.sum(F.col("windows").cast("long") + F.lit(length - 1)).alias("n_")), "sizes")
+        small = bodies.join(sizes.where(F.col("n_") <= GROUP_BYTES), "key").drop("n_")
         gathered = small.repartition("key").sortWithinPartitions("key", "doc_id", "text_hash", "start")
-        found.append(stored(map_batches(gathered, _sort_runs(length, first), f"{owner}, low int, high int"), "suffix-spans"))
-        large = sizes.where(F.col("n_") > GROUP)
+        found.append(scratch.put(map_batches(gathered, _sort_runs(length, first), f"{owner}, low int, high int"), "spans"))
+        large = sizes.where(F.col("n_") > GROUP_BYTES)
         if large.isEmpty():
             break
         width = -(-width // FAN)
-        cut = map_batches(bodies.join(large.select("key"), "key", "left_semi"), _cut_runs(length, width), f"{owner}, {_RUN}, body binary, repeated boolean")
-        cut = stored(cut, "suffix-cut")
-        covered, again = level(cut, [*place, "body"])
-        found.append(stored(covered, "suffix-covered"))
-        bodies = stored(again.drop("distinct_"), "suffix-bodies")
+        cut = map_batches(bodies.join(large.select("key"), "key", "left_semi"), _cut_runs(length, width, first), f"{owner}, {_RUN}, body binary, repeated boolean, certain boolean")
+        cut = scratch.put(cut, "cut")
+        scratch.drop(bodies, sizes)
+        if width == 1:
+            found.append(scratch.put(cut.where("certain").select("doc_id", "text_hash", F.col("start").alias("low"), reach), "certain"))
+        parts = scratch.put(cut.where("NOT certain").drop("certain"), "parts")
+        scratch.drop(cut)
+        bodies = level(parts, [*place, "body"])
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out
+    return scratch.end(out, "spans")
 
 
 def merged(low: list[int], high: list[int]) -> list[tuple[int, int]]:

@@ -94,10 +94,21 @@ def test_suffix_against_brute_force(spark, keep, length):
     check_suffix(spark, messy_texts(length), length, keep)
 
 
-def test_large_keys_are_cut_and_stay_exact(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "GROUP", 3)
-    for keep in ("none", "first"):
-        check_suffix(spark, messy_texts(7, 30), 24, keep)
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_large_keys_are_cut_and_stay_exact(spark, monkeypatch, keep):
+    """Periodic texts of many lengths among them, whose windows are all alike."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 120)
+    periodic = [(100 + i, t) for i, t in enumerate(["x" * 60, "y" + "x" * 45, "ab" * 30, "cab" + "ab" * 20 + "d", "abc" * 25, "x" * 24, "q" * 24, "z" * 30])]
+    check_suffix(spark, messy_texts(7, 30) + periodic, 24, keep)
+
+
+def test_periodic_text_is_few_runs():
+    def runs(text):
+        return len(suffix_dedup.minimizer_runs(np.frombuffer(text.encode(), dtype=np.uint8), 400)[0])
+
+    assert runs("x" * 20_000) == 1 and runs("a line of 20 letters" * 1000) == 1
+    rnd = random.Random(1)
+    assert 50 < runs("".join(rnd.choice("abcdef ") for _ in range(20_000))) < 250
 
 
 def test_long_texts_span_segments(spark, monkeypatch):
@@ -107,13 +118,34 @@ def test_long_texts_span_segments(spark, monkeypatch):
 
 def test_longest_factors_by_definition():
     rnd = np.random.default_rng(1)
-    text = rnd.integers(97, 99, 300).astype(np.uint8)
-    for length in (1, 3, 8, 9, 20):
-        starts = np.arange(len(text) - length + 1)
-        before, after = suffix_dedup.factors(text, starts, length)
-        windows = [bytes(text[i : i + length]) for i in starts]
-        assert before.tolist() == [w in windows[:i] for i, w in enumerate(windows)]
-        assert after.tolist() == [w in windows[i + 1 :] for i, w in enumerate(windows)]
+    for text in (rnd.integers(97, 99, 200), np.full(60, 97), np.tile([97, 98, 99], 40), np.concatenate([np.tile([97, 98], 30), rnd.integers(97, 99, 60)])):
+        text = text.astype(np.uint8)
+        for length in (1, 3, 8, 9, 20, 33):
+            starts = np.arange(len(text) - length + 1)
+            windows = [bytes(text[i : i + length]) for i in starts]
+            shared = [[next((k for k in range(length) if a[k] != b[k]), length) for b in windows] for a in windows]
+            order, common = suffix_dedup.suffix_order(text, starts, length)
+            assert order.tolist() == sorted(starts.tolist(), key=lambda i: (windows[i], i))
+            assert common.tolist() == [0] + [shared[a][b] for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True)]
+            assert suffix_dedup.longest_factors(order, common, length).tolist() == [max(shared[i][:i], default=0) for i in starts]
+            assert suffix_dedup.longest_factors(order, common, length, later=True).tolist() == [max(shared[i][i + 1 :], default=0) for i in starts]
+
+
+def test_suffix_query_against_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in registry.QUERIES["op2_suffix_dedup"](spark, DATA).collect()}
+    seen, flags = {}, [bytearray(len((t or "").encode())) for _, t in docs]
+    for n, (_, t) in enumerate(docs):
+        data = (t or "").encode()
+        for p in range(len(data) - 399):
+            m, q = seen.setdefault(data[p : p + 400], (n, p))
+            if (m, q) != (n, p):
+                flags[n][p : p + 400] = flags[m][q : q + 400] = b"\x01" * 400
+    assert any(map(any, flags)) and len(got) == len(docs)
+    for (i, t), f in zip(docs, flags, strict=True):
+        data = (t or "").encode()
+        left = bytes(c for c, x in zip(data, f, strict=True) if not x)
+        assert got[i] == (len(data), sum(f), len(re.findall(b"\x01+", bytes(f))), hashlib.sha256(left).hexdigest())
 
 
 def test_suffix_clean_keeps_columns_and_characters(spark):
