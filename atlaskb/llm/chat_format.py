@@ -7,18 +7,22 @@ a JSON object with `tool_call_id` gives that call's result. In plain conversatio
 a user's message calls `ask` with its text as argument, and the assistant's message in the next turn is its
 result; other messages stand alone.
 
-Calls and results are hash-joined by (conversation, identifier). Their order is topological: `position` is the
+Calls and results are hash-joined by (conversation, identifier): a call carries its result (of several, the first by turn) and
+a result the turn of its call. Their order is topological: `position` is the
 length of the chain of turns before a message, found by pointer jumping (each round doubles the distance, so a
 conversation of any length takes a logarithmic number of rounds, and no task gathers a conversation), and
-`level` the longest path of `depends_on` links before a call, found by rounds of relaxation. Arguments are
+`level` the longest path of `depends_on` links before a call: calls with one dependency jump likewise to the first call
+before them that has none or several, and only those with several go by rounds of relaxation. Arguments are
 checked against the schema of the call's name: declared types, required properties, and no others. Each node is
 serialised as canonical JSON: keys in order, no white space, at every depth.
 
 Defined results: a null text gives a node without content or arguments' text, which fails a schema that requires
 it; a null role is a message that stands alone; rows repeated for a turn give a node each and link alike; a
-result without a call, or a call without a result, has linked = false; calls whose dependencies form a circle
-have a null level; dependencies on unknown identifiers are ignored; a call without a schema has valid = null; a
-null conversation or turn links with nothing; empty tables give empty results; further columns are ignored.
+result without a call, or a call without a result, has linked = false and a null linked_turn; very long texts are
+serialised whole; calls whose dependencies form a circle
+or lead to one have a null level; dependencies on unknown identifiers are ignored; a call without a schema has valid = null; a
+null conversation or turn links with nothing; empty tables give empty results; further columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import Scratch, read
 
 #: Schema of the implied call: name, property, type as schema_of_variant gives it, whether it is required.
 ASK = [("ask", "text", "STRING", True)]
@@ -76,40 +80,62 @@ def nodes(messages: DataFrame) -> DataFrame:
     return explicit.select(_NODE).unionByName(spoken.where("content <> ''").select(_NODE)).unionByName(single.select(_NODE))
 
 
-def positions(turns: DataFrame) -> DataFrame:
+def positions(turns: DataFrame, scratch: Scratch) -> DataFrame:
     """(conv_id, turn, position): how many turns lie before each one in its unbroken chain of turns."""
     known = turns.select("conv_id", "turn").where("conv_id IS NOT NULL AND turn IS NOT NULL").distinct()
-    known = stored(known, "chat-turns")
+    known = scratch.put(known, "turns")
     before = known.select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit(True).alias("has"))
     table = known.join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", F.when(F.col("has"), F.col("turn") - 1).alias("up"), F.when(F.col("has"), 1).otherwise(0).cast("long").alias("position"))
-    table = stored(table, "chat-positions")
+    table = scratch.put(table, "positions")
     ended, open_ = table.where("up IS NULL"), table.where("up IS NOT NULL")
     while not open_.isEmpty():
         # Only turns that haven't met the head of their chain look further up.
         above = ended.unionByName(open_).select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("position").alias("more"))
         moved = open_.join(above, ["conv_id", "up"]).select("conv_id", "turn", F.col("next").alias("up"), (F.col("position") + F.col("more")).alias("position"))
-        moved = stored(moved, "chat-positions")
+        moved = scratch.put(moved, "positions")
         ended, open_ = ended.unionByName(moved.where("up IS NULL")), moved.where("up IS NOT NULL")
     return ended.drop("up")
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of calls with depends_on; null where dependencies form a circle."""
-    links = calls.select("conv_id", "call_id", F.explode("depends_on").alias("dep"))
-    links = stored(links.join(calls.select("conv_id", F.col("call_id").alias("dep")).distinct(), ["conv_id", "dep"], "left_semi").distinct(), "chat-links")
-    every = calls.select("conv_id", "call_id").where("conv_id IS NOT NULL AND call_id IS NOT NULL").distinct()
+def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv_id, call_id, level) of calls with depends_on; null where dependencies form a circle or lead to one."""
+    key = ["conv_id", "call_id"]
+    links = calls.select(*key, F.explode("depends_on").alias("dep"))
+    links = scratch.put(links.join(calls.select("conv_id", F.col("call_id").alias("dep")).distinct(), ["conv_id", "dep"], "left_semi").distinct(), "links")
+    every = calls.select(*key).where("conv_id IS NOT NULL AND call_id IS NOT NULL").distinct()
     if links.isEmpty():
         return every.withColumn("level", F.lit(0).cast("long"))
-    level = stored(every.join(links, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long")), "chat-levels")
-    waiting = stored(every.join(level, ["conv_id", "call_id"], "left_anti"), "chat-waiting")
-    while True:
-        ready = links.join(waiting, ["conv_id", "call_id"], "left_semi").join(level.withColumnsRenamed({"call_id": "dep", "level": "below"}), ["conv_id", "dep"], "left")
-        ready = ready.groupBy("conv_id", "call_id").agg(F.max("below").alias("below"), F.max(F.col("below").isNull()).alias("open"))
-        ready = stored(ready.where(~F.col("open")).select("conv_id", "call_id", (F.col("below") + 1).alias("level")), "chat-ready")
+    needs = links.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("dep").alias("dep"))
+    one = F.col("n") == 1
+    table = every.join(needs, key, "left").select(*key, F.coalesce("n", F.lit(0)).alias("n"), F.when(one, F.col("dep")).otherwise(F.col("call_id")).alias("anchor"), F.when(one, 1).otherwise(0).cast("long").alias("far"))
+    table = scratch.put(table, "calls")
+    ended, open_ = table.where("n <> 1").drop("n"), table.where("n = 1").drop("n")
+    # Each round doubles how far calls have jumped: beyond a conversation's calls, what is still open goes in a circle.
+    most, jumped = table.groupBy("conv_id").count().agg(F.max("count")).first()[0], 1
+    while jumped <= 2 * most and not open_.isEmpty():
+        above = ended.withColumn("done", F.lit(True)).unionByName(open_.withColumn("done", F.lit(False)))
+        above = above.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("next"), F.col("far").alias("more"), "done")
+        moved = open_.join(above, ["conv_id", "anchor"]).select(*key, F.col("next").alias("anchor"), (F.col("far") + F.col("more")).alias("far"), "done")
+        moved = scratch.put(moved, "jumps")
+        ended, open_ = ended.unionByName(moved.where("done").drop("done")), moved.where("NOT done").drop("done")
+        jumped *= 2
+    ended = scratch.put(ended, "anchors")
+    joints = table.where("n > 1").select(*key)
+    # Links of calls with several dependencies, to the anchors of those; none for one that ends in a circle.
+    steps = links.join(joints, key, "left_semi").join(ended.withColumnsRenamed({"call_id": "dep"}), ["conv_id", "dep"], "left")
+    steps = scratch.put(steps.select(*key, "anchor", (F.col("far") + 1).alias("far")), "steps")
+    level = scratch.put(table.where("n = 0").select(*key, F.lit(0).cast("long").alias("level")), "levels")
+    waiting = scratch.put(joints, "waiting")
+    while not waiting.isEmpty():
+        ready = steps.join(waiting, key, "left_semi").join(level.withColumnsRenamed({"call_id": "anchor", "level": "below"}), ["conv_id", "anchor"], "left")
+        ready = ready.groupBy(*key).agg(F.max(F.col("below") + F.col("far")).alias("level"), F.max(F.col("below").isNull()).alias("open"))
+        ready = scratch.put(ready.where(~F.col("open")).select(*key, "level"), "ready")
         if ready.isEmpty():
-            return level.unionByName(waiting.withColumn("level", F.lit(None).cast("long")))
-        level = stored(level.unionByName(ready), "chat-levels")
-        waiting = stored(waiting.join(ready, ["conv_id", "call_id"], "left_anti"), "chat-waiting")
+            break
+        level = scratch.put(level.unionByName(ready), "levels")
+        waiting = scratch.put(waiting.join(ready, key, "left_anti"), "waiting")
+    found = ended.join(level.withColumnsRenamed({"call_id": "anchor"}), ["conv_id", "anchor"]).select(*key, (F.col("level") + F.col("far")).alias("level"))
+    return every.join(found, key, "left")
 
 
 def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -123,30 +149,40 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return checked.withColumn("valid", F.when(F.col("rules").isNotNull(), F.coalesce(fits & closed, F.lit(False)))).drop("rules", "given")
 
 
-def format_chats(messages: DataFrame, schemas: DataFrame) -> DataFrame:
-    """One row per node: conv_id, turn, position, level, kind, call_id, linked, valid, json."""
-    found = stored(nodes(messages), "chat-nodes")
-    place = positions(found)
-    level = levels(found.where("kind = 'call'"))
+def linked(found: DataFrame) -> DataFrame:
+    """Nodes with the turn of what they link to and, for calls, the result."""
     key = ["conv_id", "call_id"]
-    ends = found.where("call_id IS NOT NULL AND conv_id IS NOT NULL AND kind <> 'message'").groupBy(*key).agg(
-        F.max(F.col("kind") == "call").alias("has_call"), F.max(F.col("kind") == "result").alias("has_result")
-    )
-    linked = found.join(ends, key, "left").join(place, ["conv_id", "turn"], "left").join(level, key, "left")
-    checked = validated(linked, schemas)
+    keyed = found.where("conv_id IS NOT NULL AND call_id IS NOT NULL")
+    calls, results = F.col("kind") == "call", F.col("kind") == "result"
+    answers = keyed.where(results).groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("to"))
+    asks = keyed.where(calls).groupBy(*key).agg(F.struct(F.min("turn").alias("turn"), F.lit(None).cast("string").alias("content")).alias("to"))
+    whole = found.where(calls).join(answers.hint("shuffle_hash"), key, "left").unionByName(found.where(results).join(asks.hint("shuffle_hash"), key, "left"))
+    alone = found.where(~calls & ~results).withColumn("to", F.lit(None).cast(answers.schema["to"].dataType))
+    return whole.unionByName(alone).withColumns({"linked": F.col("to").isNotNull(), "linked_turn": F.col("to.turn"), "result": F.col("to.content")}).drop("to")
+
+
+def format_chats(messages: DataFrame, schemas: DataFrame) -> DataFrame:
+    """One row per node: conv_id, turn, position, level, kind, call_id, linked, linked_turn, valid, json."""
+    scratch = Scratch(messages.sparkSession, "chat")
+    found = scratch.put(nodes(messages), "nodes")
+    place = positions(found, scratch)
+    level = levels(found.where("kind = 'call'"), scratch)
+    joined = linked(found).join(place, ["conv_id", "turn"], "left").join(level, ["conv_id", "call_id"], "left")
+    checked = validated(joined, schemas)
     out = F.struct(
         F.try_parse_json("arguments").alias("arguments"),
         F.when(F.col("kind") != "message", F.col("call_id")).alias("call_id"),
         "content",
         "name",
+        "result",
         "role",
         "turn",
     )
-    return checked.select(
-        "conv_id", "turn", "position", F.when(F.col("kind") == "call", F.col("level")).otherwise(F.lit(0)).cast("long").alias("level"), "kind", "call_id",
-        F.when(F.col("kind") == "call", F.coalesce("has_result", F.lit(False))).when(F.col("kind") == "result", F.coalesce("has_call", F.lit(False))).otherwise(F.lit(False)).alias("linked"),
-        F.when(F.col("kind") == "call", F.col("valid")).alias("valid"), F.to_json(out).alias("json"),
-    )
+    call = F.col("kind") == "call"
+    return scratch.end(checked.select(
+        "conv_id", "turn", "position", F.when(call, F.col("level")).otherwise(F.lit(0)).cast("long").alias("level"), "kind", "call_id",
+        "linked", "linked_turn", F.when(call, F.col("valid")).alias("valid"), F.to_json(out).alias("json"),
+    ))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,9 +203,13 @@ SELECT n.conv_id, n.turn, position, 0::BIGINT AS level, kind, call_id,
        CASE kind WHEN 'call' THEN EXISTS (SELECT 1 FROM m r WHERE r.conv_id = n.conv_id AND r.turn = n.turn + 1 AND r.role = 'assistant')
                  WHEN 'result' THEN EXISTS (SELECT 1 FROM m r WHERE r.conv_id = n.conv_id AND r.turn = n.turn - 1 AND r.role = 'user')
                  ELSE false END AS linked,
+       CASE kind WHEN 'call' THEN (SELECT min(r.turn) FROM m r WHERE r.conv_id = n.conv_id AND r.turn = n.turn + 1 AND r.role = 'assistant')
+                 WHEN 'result' THEN (SELECT min(r.turn) FROM m r WHERE r.conv_id = n.conv_id AND r.turn = n.turn - 1 AND r.role = 'user') END AS linked_turn,
        CASE WHEN kind = 'call' THEN text IS NOT NULL END AS valid,
-       CASE kind WHEN 'call' THEN json_object('arguments', json_object('text', text), 'call_id', call_id, 'name', 'ask', 'role', role, 'turn', n.turn)
+       CASE WHEN kind = 'call' AND answer IS NOT NULL THEN json_object('arguments', json_object('text', text), 'call_id', call_id, 'name', 'ask', 'result', answer, 'role', role, 'turn', n.turn)::VARCHAR
+            ELSE CASE kind WHEN 'call' THEN json_object('arguments', json_object('text', text), 'call_id', call_id, 'name', 'ask', 'role', role, 'turn', n.turn)
                  WHEN 'result' THEN json_object('call_id', call_id, 'content', text, 'role', role, 'turn', n.turn)
-                 ELSE json_object('content', text, 'role', role, 'turn', n.turn) END::VARCHAR AS json
+                 ELSE json_object('content', text, 'role', role, 'turn', n.turn) END::VARCHAR END AS json
 FROM n JOIN island USING (conv_id, turn)
+LEFT JOIN (SELECT conv_id, turn - 1 AS turn, min(text) AS answer FROM m WHERE role = 'assistant' GROUP BY ALL) a USING (conv_id, turn)
 """

@@ -51,6 +51,19 @@ def test_exact_keeps_a_large_group_whole(spark):
     assert len(rows) == 3001 and sum(r.kept for r in rows) == 2 and {r.group_size for r in rows if r.doc_id < 9000} == {3000}
 
 
+def test_exact_runs_merge_in_binomial_rounds(spark):
+    level = spark.range(400).selectExpr(
+        "id % 8 AS run", "unhex(lpad(hex(id % 50), 4, '0')) AS digest", "1 AS norm_chars", "2L AS checksum",
+        "named_struct('n', -1, 'none', false, 'doc_id', id, 'row', id) AS best", "1L AS rows",
+    )
+    level = level.groupBy("run", *exact_dedup._KEY).agg(F.min("best").alias("best"), F.sum("rows").alias("rows"))
+    for step, runs in ((1, {0, 2, 4, 6}), (2, {0, 4}), (4, {0})):
+        level = exact_dedup.merge_runs(level, step)
+        assert "SortMergeJoin" in level._jdf.queryExecution().executedPlan().toString()
+        assert {r.run for r in level.select("run").distinct().collect()} == runs
+    assert sorted((int(r.digest.hex(), 16), r.best.doc_id, r.rows) for r in level.collect()) == [(i, i, 8) for i in range(50)]
+
+
 # Suffix arrays
 
 def brute_spans(texts, length, keep):

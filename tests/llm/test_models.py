@@ -12,6 +12,7 @@ import regex
 from pyspark.sql import functions as F
 
 from atlaskb.llm import chat_format, html_extract, language_id, registry, search, toxicity
+from atlaskb.llm.common import Scratch
 
 from ..oracle import DATA
 
@@ -218,7 +219,8 @@ def test_chat_tool_calls(spark):
     assert {k: r.valid for k, r in got.items()} == {"a": False, "b": True, "c": False, "d": None, "e": False}
     assert {k: r.linked for k, r in got.items()} == {"a": True, "b": False, "c": False, "d": False, "e": False}
     assert got["b"].json == '{"arguments":{"a":{"x":[1,2],"y":2},"z":1},"call_id":"b","name":"get","role":"assistant","turn":0}'
-    assert {r.call_id: r.linked for r in rows if r.kind == "result"} == {"a": True, "zz": False}
+    assert {r.call_id: (r.linked, r.linked_turn) for r in rows if r.kind == "result"} == {"a": (True, 0), "zz": (False, None)}
+    assert got["a"].linked_turn == 1 and json.loads(got["a"].json)["result"] == '{"b":2,"k":1}' and got["b"].linked_turn is None
     assert json.loads(next(r.json for r in rows if r.kind == "result" and r.call_id == "a"))["content"] == '{"b":2,"k":1}'
 
 
@@ -245,5 +247,37 @@ def test_chat_edge_cases(spark):
 
 def test_chat_positions_of_a_long_conversation(spark):
     turns = spark.createDataFrame([(1, i) for i in range(700) if i != 300] + [(2, 5)], "conv_id long, turn long")
-    got = {(r.conv_id, r.turn): r.position for r in chat_format.positions(turns).collect()}
+    got = {(r.conv_id, r.turn): r.position for r in chat_format.positions(turns, Scratch(spark, "test")).collect()}
     assert all(got[1, i] == (i if i < 300 else i - 301) for i in range(700) if i != 300) and got[2, 5] == 0
+
+
+def test_chat_results_meet_calls_in_a_hash_join(spark):
+    frame = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a")], TALK)
+    plan = chat_format.linked(chat_format.nodes(frame))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") >= 2
+
+
+def brute_levels(deps):
+    """The longest path below each call; None on and above circles."""
+    level = {c: 0 for c, d in deps.items() if not d}
+    while more := {c: 1 + max(level[x] for x in d) for c, d in deps.items() if c not in level and all(x in level for x in d)}:
+        level |= more
+    return {c: level.get(c) for c in deps}
+
+
+def test_chat_levels_of_chains_joints_and_circles(spark):
+    rnd = random.Random(4)
+    deps = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(1000)}
+    deps |= {f"d{i}": rnd.sample([f"d{j}" for j in range(i)], min(i, rnd.choice([0, 1, 1, 2, 3]))) for i in range(60)}
+    deps |= {"x": ["y"], "y": ["z"], "z": ["x"], "above": ["x"], "joint": ["above", "c5"], "self": ["self"], "top": ["joint"]}
+    calls = spark.createDataFrame([(1, c, d) for c, d in deps.items()] + [(2, "c1", ["c0", "gone"]), (2, "c0", None)], "conv_id long, call_id string, depends_on array<string>")
+    puts = []
+
+    class Counted(Scratch):
+        def put(self, df, name):
+            puts.append(name)
+            return super().put(df, name)
+
+    got = {(r.conv_id, r.call_id): r.level for r in chat_format.levels(calls, Counted(spark, "test")).collect()}
+    assert got == {(1, c): n for c, n in brute_levels(deps).items()} | {(2, "c0"): 0, (2, "c1"): 1}
+    assert puts.count("jumps") <= 12
