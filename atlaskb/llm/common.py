@@ -13,8 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows and bytes, at most, of the part of an Arrow batch that an operator turns into Python objects at once
 #: (a single longer row is a part of its own). Spark itself closes a batch at 64 MB.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
-#: Has Spark delete the shuffle files of a query when the query ends.
-_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Held while an intermediate table is written: Spark deletes the query's shuffle files when it ends, and closes Arrow batches early.
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": str(2 * BATCH_ROWS),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
+}
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -63,14 +67,16 @@ class Scratch:
 
 
 def write(df: DataFrame, path: str) -> None:
-    """Write df as Parquet; its shuffle files go as soon as it is written."""
+    """Write df as Parquet; its shuffle files go as soon as it is written. The session's settings are as before afterwards."""
     conf = df.sparkSession.conf
-    before = conf.get(_CLEAN_UP, None)
-    conf.set(_CLEAN_UP, "true")
+    before = {k: conf.get(k, None) for k in _WRITING}
     try:
+        for k, v in _WRITING.items():
+            conf.set(k, v)
         df.write.parquet(path)
     finally:
-        conf.unset(_CLEAN_UP) if before is None else conf.set(_CLEAN_UP, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -12,16 +12,13 @@
 4. Narrowing, before any comparison: a shingle that no other candidate has can't be shared, so a document's `common`
    shingles bound its overlap with all others. A document with too few of them links with nothing and leaves; a
    pair whose commons bound its similarity below the limit is never compared.
-5. Verification on the full sets goes by rounds, never all pairs of a bucket, and is the same for groups of all
-   sizes: in each round every bucket that still holds several components names pivots among its
-   members (those in the largest buckets first; PIVOTS at most in the first round, twice as many in each
-   next one), each other member is compared with them, and links join components. A pivot has then met its
-   whole bucket and leaves it. A group of near copies is one component after a round, at a cost in proportion
-   to its members. A pivot's set is sent once for each PART members that it meets, and a member's once for each of its
-   pivots. For documents that share buckets and yet don't link, the buckets are narrowed again after the
-   first round: they meet only if they share one of their rarest shingles, as any two that link must. A
-   bucket is done when those left are in one component, so no link that could join two components is passed
-   over.
+5. Verification on the full sets, the same for groups of all sizes and never all pairs of a bucket. First each bucket's
+   members are compared with its pivot (the member in the largest buckets), and links join components: a group of near
+   copies is mostly one component now, at a cost in proportion to its members. A pivot's set is sent once for each PART
+   members that it meets, and a member's once for each of its pivots. Buckets that still hold several components are
+   narrowed: their members meet again only if they share one of their rarest shingles, as any two that link must. What
+   these narrow buckets connect is compared in blocks of BLOCK elements, in the blocks' inverted indexes; two blocks of one
+   component are not compared. So every pair across components that could link has been compared.
 6. Union-find: each task contracts its links to a forest, then labels spread over the forests' edges by
    hooking to the smallest neighbour and jumping chains to their ends, in rounds that each end. Links stay in tables of the shared folder.
 
@@ -29,7 +26,7 @@ Tables of a round are deleted as soon as the next is written, and shuffle files
 
 Defined results: a null or empty text (or one of white space only) has no shingles, links with nothing and is its
 own component; a text with fewer words than a shingle is one shingle; a very long text is one set, which must fit a task's
-memory (8 bytes a distinct shingle); equal weights name the pivot with the smallest node; rows repeated in full are in
+memory (8 bytes a distinct shingle); of equal weights the smallest node is the pivot; rows repeated in full are in
 one component and `kept` is true for each; a null id is never the smallest unless all are null; empty tables
 give empty results; further columns are ignored by `components` and carried by `dedup`.
 """
@@ -48,14 +45,14 @@ from .common import Scratch, fresh, map_batches, mix, read
 
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
-#: Members of a bucket, at most, that all others are compared with in the first round.
-PIVOTS = 2
 #: Members that a pivot meets in one task.
 PART = 512
+#: Set elements of a block of documents that are compared with another block.
+BLOCK = 1 << 18
 #: Links that one task contracts.
 LINKS = 300_000
 #: Set elements for which signatures are computed together.
-ELEMENTS = 200_000
+ELEMENTS = 1 << 16
 #: Leaves of the two-step counts and joins that spread a large group of equal sets.
 SALTS = 64
 MEMO = 400_000
@@ -104,11 +101,11 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     swaps: list[np.ndarray] = []
     for level in range(SLOTS):
         draw = mix(elements + np.uint64((2 * level + 1) * int(_GOLD) % 2**64))
-        swap = level + ((mix(draw ^ _GOLD) >> np.uint64(32)) * np.uint64(SLOTS - level) >> np.uint64(32)).astype(np.int64)
+        swap = level + ((mix(draw ^ _GOLD) >> np.uint64(32)) * np.uint64(SLOTS - level) >> np.uint64(32)).astype(np.int16)
         # The place that the element's permutation gives to this level: follow the earlier swaps back.
         place = swap
         for earlier in range(level - 1, -1, -1):
-            place = np.where(place == swaps[earlier], earlier, place)
+            place = np.where(place == swaps[earlier], np.int16(earlier), place)
         swaps.append(swap)
         value = (draw >> np.uint64(8)) | np.uint64(level << 56)
         np.minimum.at(flat, owner * SLOTS + place, value)
@@ -187,6 +184,77 @@ def _meet(percent: int):
     return rows
 
 
+def block_links(one: list[np.ndarray], labels_one: list[int], two: list[np.ndarray], labels_two: list[int], percent: int) -> set[tuple[int, int]]:
+    """The labels (larger, smaller) of all similar sets of two blocks, by an inverted index of the first."""
+    sizes = np.array([len(s) for s in one])
+    elements, owner = np.concatenate(one), np.repeat(np.arange(len(one)), sizes)
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], owner[order]
+    known = np.array(labels_one)
+    found: set[tuple[int, int]] = set()
+    for mine, label in zip(two, labels_two, strict=True):
+        low, high = np.searchsorted(elements, mine, side="left"), np.searchsorted(elements, mine, side="right")
+        n = high - low
+        low, n = low[n > 0], n[n > 0]
+        if not len(n):
+            continue
+        at = np.arange(n.sum()) + np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+        shared = np.bincount(owner[at], minlength=len(one))
+        hits = known[(100 * shared >= percent * (sizes + len(mine) - shared)) & (known != label)]
+        found.update((max(x, label), min(x, label)) for x in set(hits.tolist()))
+    return found
+
+
+def _meet_blocks(percent: int):
+    """The links (a, b) among labels of rows (one, two, side, label, elements), which arrive by pair of blocks, the first block before
+    the second. A block that meets itself comes as both sides."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, held, labels = None, [], []
+        for batch in batches:
+            links: set[tuple[int, int]] = set()
+            asked: list[np.ndarray] = []
+            askers: list[int] = []
+            lists = batch["elements"]
+            for i, (*this, side, label) in enumerate(zip(*(batch[c].to_pylist() for c in ("one", "two", "side", "label")), strict=True)):
+                if this != pair:
+                    if held and asked:
+                        links |= block_links(held, labels, asked, askers, percent)
+                    pair, held, labels, asked, askers = this, [], [], [], []
+                # A copy, as the batch goes.
+                (asked if side else held).append(lists[i].values.to_numpy() if side else lists[i].values.to_numpy().copy())
+                (askers if side else labels).append(label)
+            if held and asked:
+                links |= block_links(held, labels, asked, askers, percent)
+            found = sorted(links)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+    return rows
+
+
+def _in_blocks(open_: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The links (a, b) between labels of open_ (node, label, family, size), within families."""
+    sums = scratch.put(open_.groupBy("family", "label").agg(F.sum("size").alias("elements")), "sums")
+    # A component that fills blocks has its own; the others of a family share some. The number is a matter of layout only.
+    whose = F.when(F.col("elements") >= BLOCK, F.col("label"))
+    kinds = sums.withColumn("whose", whose).groupBy("family", "whose").agg(F.ceil(F.sum("elements") / BLOCK).cast("int").alias("blocks"))
+    blocks = kinds.select("family", "whose", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("number"))
+    blocks = scratch.put(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    # The sums are joined on what is never null.
+    members = open_.join(sums.withColumn("whose", F.coalesce(whose, F.lit(-1))).drop("elements"), ["family", "label"])
+    spread = blocks.withColumn("whose", F.coalesce("whose", F.lit(-1)))
+    counts = spread.where("number = 0").select("family", "whose", "blocks")
+    members = members.join(counts, ["family", "whose"]).withColumn("number", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = scratch.put(members.join(spread.drop("blocks"), ["family", "whose", "number"]).select("node", "label", "block"), "members")
+    one = blocks.select("family", F.col("block").alias("one"), F.col("whose").alias("whose_one"))
+    two = blocks.select("family", F.col("block").alias("two"), F.col("whose").alias("whose_two"))
+    pairs = scratch.put(one.join(two, "family").where("one <= two AND coalesce(whose_one <> whose_two, true)").select("one", "two"), "block-pairs")
+    sides = pairs.select("one", "two", F.lit(0).alias("side"), F.col("one").alias("block")).union(pairs.select("one", "two", F.lit(1).alias("side"), F.col("two").alias("block")))
+    met = sides.join(members, "block").select("one", "two", "side", "label", "node").join(sets, "node")
+    met = met.repartition("one", "two").sortWithinPartitions("one", "two", "side", "node")
+    return map_batches(met.select("one", "two", "side", "label", "elements"), _meet_blocks(percent), "a long, b long")
+
+
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links (pivot, node) among pairs (pivot, node)."""
     parts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
@@ -315,8 +383,6 @@ def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col
     labels = scratch.put(ranked.select("node", F.col("node").alias("label")), "labels")
     worth = scratch.put(_common(ranked, sets, percent), "worth")
     scratch.drop(ranked)
-    open_ = members.select("bucket", "node").join(worth.select("node"), "node", "left_semi")
-    live, checked, seats = _distinct_buckets(open_, scratch).join(worth, "node").withColumn("label", F.col("node")), [], PIVOTS
 
     def unsettled(live: DataFrame) -> DataFrame:
         """The rows of buckets with several components."""
@@ -326,39 +392,42 @@ def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col
         scratch.drop(several)
         return rest
 
-    live = unsettled(live)
+    def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+        """labels after links (a, b) between them."""
+        across = scratch.put(links.where("a <> b").distinct(), "links")
+        to = connected(across, scratch)
+        moved = labels.join(to.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        moved = scratch.put(moved, "labels")
+        scratch.drop(labels, across)
+        return moved
+
+    open_ = members.select("bucket", "node").join(worth.select("node"), "node", "left_semi")
+    live = unsettled(_distinct_buckets(open_, scratch).join(worth, "node").withColumn("label", F.col("node")))
     scratch.drop(members)
-    while not live.isEmpty():
-        pivots = live.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(seats)).alias("seat")).agg(F.max(F.struct("weight", -F.col("node"), "size", "common", "label")).alias("p"))
-        pivots = pivots.select("bucket", (-F.col("p.col2")).alias("pivot"), F.col("p.size").alias("pivot_size"), F.col("p.common").alias("pivot_common"), F.col("p.label").alias("pivot_label"))
-        pivots = scratch.put(pivots, "pivots")
-        most = (100 + percent) * F.least("common", "pivot_common") >= percent * (F.col("size") + F.col("pivot_size"))
-        met = live.join(pivots, "bucket").where((F.col("label") != F.col("pivot_label")) & most)
-        pairs = met.groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.max(F.struct("weight", "pivot")).alias("p"))
-        pairs = pairs.select("a", "b", F.col("p.pivot").alias("pivot"))
-        for done in checked:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = scratch.put(pairs, "pairs")
-        checked.append(pairs.select("a", "b"))
-        links = _compared(pairs.select("pivot", F.when(F.col("pivot") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node")), sets, percent)
-        across = links.join(labels.toDF("pivot", "a"), "pivot").join(labels.toDF("node", "b"), "node").select("a", "b")
-        across = scratch.put(across.where("a <> b").distinct(), "links")
-        if not across.isEmpty():
-            to = connected(across, scratch)
-            moved = labels.join(to.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-            moved = scratch.put(moved, "labels")
-            scratch.drop(labels, to)
-            labels = moved
-        scratch.drop(across)
-        rest = live.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
-        before, live = live, unsettled(rest.drop("label").join(labels, "node"))
-        scratch.drop(before, pivots)
-        if len(checked) == 1 and not live.isEmpty():
-            narrowed = _prefix_buckets(scratch.put(live.select("node").distinct(), "open"), sets, percent, scratch)
-            narrowed = _distinct_buckets(scratch.put(narrowed, "prefixes"), scratch)
-            before, live = live, unsettled(narrowed.join(worth, "node").join(labels, "node"))
-            scratch.drop(before)
-        seats *= 2
+    pivots = live.groupBy("bucket").agg(F.max(F.struct("weight", -F.col("node"), "size", "common")).alias("p"))
+    pivots = scratch.put(pivots.select("bucket", (-F.col("p.col2")).alias("pivot"), F.col("p.size").alias("pivot_size"), F.col("p.common").alias("pivot_common")), "pivots")
+    most = (100 + percent) * F.least("common", "pivot_common") >= percent * (F.col("size") + F.col("pivot_size"))
+    pairs = live.join(pivots, "bucket").where((F.col("node") != F.col("pivot")) & most).select("pivot", "node").distinct()
+    pairs = scratch.put(pairs, "pairs")
+    links = _compared(pairs, sets, percent)
+    labels = joined(labels, links.select(F.greatest("pivot", "node").alias("a"), F.least("pivot", "node").alias("b")))
+    scratch.drop(pairs, pivots)
+    before, live = live, unsettled(live.select("bucket", "node").join(labels, "node"))
+    scratch.drop(before)
+
+    if not live.isEmpty():
+        nodes_open = scratch.put(live.select("node").distinct(), "open")
+        scratch.drop(live)
+        narrow = scratch.put(_prefix_buckets(nodes_open, sets, percent, scratch), "prefixes")
+        live = unsettled(narrow.join(labels, "node"))
+        scratch.drop(narrow, nodes_open)
+        heads = live.groupBy("bucket").agg(F.min("label").alias("b"))
+        ties = scratch.put(live.select("bucket", "label").distinct().join(heads, "bucket").where("label <> b").select(F.col("label").alias("a"), "b").distinct(), "ties")
+        families = live.select("node", "label").distinct().join(connected(ties, scratch).toDF("label", "head"), "label", "left")
+        families = families.join(worth.select("node", "size"), "node").select("node", "label", F.coalesce("head", "label").alias("family"), "size")
+        families = scratch.put(families, "families")
+        scratch.drop(live, ties)
+        labels = joined(labels, _in_blocks(families, sets, percent, scratch))
 
     named = labels.join(grouped.select("node", "smallest"), "node")
     named = named.join(named.groupBy("label").agg(F.min("smallest").alias("component")), "label").select("node", "component")

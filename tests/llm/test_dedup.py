@@ -211,6 +211,7 @@ def near_texts(seed, n=120):
 @pytest.mark.parametrize(("words", "percent", "part"), [(3, 85, 3), (5, 80, 512)])
 def test_near_against_brute_force(spark, monkeypatch, words, percent, part):
     monkeypatch.setattr(minhash_dedup, "PART", part)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 300 * part)
     texts = near_texts(words)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.components(table(spark, texts), words, percent).collect()}
     assert got == brute_components(texts, words, percent)
