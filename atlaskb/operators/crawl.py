@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Settings
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Give the context a checkpoint folder if it has none: the session's spark.checkpoint.dir, or, only where that is
-    unset, a temporary folder in local mode and the shared warehouse on a cluster."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and context.master.startswith("local") and not context.master.startswith("local-cluster"):
-        folder = tempfile.mkdtemp(prefix="atlaskb-checkpoints-")
-    context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder: the session's spark.checkpoint.dir, or, only where that is unset, the
+    context's checkpoint folder or the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    root = root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, so that what is made from it has a short lineage."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def diff(pages: DataFrame, state: DataFrame) -> DataFrame:
@@ -55,9 +60,8 @@ def not_indexed(pages: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_pages: int = 0) -> DataFrame:
     """(url, depth) of all URLs that links reach from the seeds, breadth first; edges are (src, dst). Each level joins
-    only its frontier, and the visited set is checkpointed, so the plan doesn't grow with the depth."""
-    ensure_checkpoints(seeds.sparkSession)
-    frontier = seeds.select("url").distinct().withColumn("depth", F.lit(0)).checkpoint()
+    only its frontier, and each frontier is a table of its own, so the plan grows by a scan a level."""
+    frontier = kept_table(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "frontier")
     visited, depth, n = frontier, 0, frontier.count() if max_pages else 0
     while max_depth is None or depth < max_depth:
         depth += 1
@@ -65,14 +69,47 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, ma
         fresh = reached.join(visited, "url", "left_anti").withColumn("depth", F.lit(depth))
         if max_pages:
             fresh = fresh.orderBy("url").limit(max(max_pages - n, 0))
-        frontier = fresh.checkpoint()
+        frontier = kept_table(fresh, "frontier")
         if frontier.isEmpty():
             break
         n += frontier.count() if max_pages else 0
-        visited = visited.unionByName(frontier).checkpoint()
+        visited = visited.unionByName(frontier)
     return visited
 
 
+def routed(fetched: DataFrame) -> DataFrame:
+    """Fetched resources (url, content_type, body, error) with their kind: html, pdf, other or error."""
+    said = F.lower(F.coalesce("content_type", F.lit("")))
+    kind = F.when(F.col("error").isNotNull(), "error").when(said.contains("text/html"), "html").when(said.contains("application/pdf"), "pdf").otherwise("other")
+    return fetched.withColumn("kind", kind)
+
+
+def unknown_pdfs(links: DataFrame, known: DataFrame) -> DataFrame:
+    """(url) of linked PDFs that the index doesn't have."""
+    return links.select(F.col("link").alias("url")).distinct().join(known.select("url"), "url", "left_anti")
+
+
+def long_enough(pages: DataFrame, settings: Settings) -> DataFrame:
+    """Pages whose cleaned text is worth an entry of the index."""
+    return pages.where(F.length(F.coalesce("text", F.lit(""))) >= settings.least_page_chars)
+
+
+def clean_up(pages: DataFrame, pdfs: DataFrame, state: DataFrame, skip, sample: int = 5) -> dict[str, DataFrame]:
+    """What a clean-up of an index would do: the tables kept, counts by table (part, kept, dropped), the files to delete,
+    pages before PDFs, and the first dropped URLs of each table."""
+    parts = {"pages": pages, "pdfs": pdfs, "state": state}
+    flagged = {name: keep_or_drop(t, skip(F.col("url"))) for name, t in parts.items()}
+    found = {name: t.where("NOT dropped").drop("dropped") for name, t in flagged.items()}
+    counts, files, samples = [], [], []
+    for place, (name, t) in enumerate(flagged.items()):
+        counts.append(t.agg(F.lit(name).alias("part"), F.count_if(~F.col("dropped")).alias("kept"), F.count_if("dropped").alias("dropped")))
+        if name != "state":
+            files.append(t.where("dropped AND coalesce(file, '') <> ''").select(F.lit(place).alias("place"), "url", "file"))
+            samples.append(t.where("dropped").orderBy("url").limit(sample).select(F.lit(name).alias("part"), "url"))
+    union = lambda ts: ts[0] if len(ts) == 1 else ts[0].unionByName(union(ts[1:]))
+    return found | {"counts": union(counts), "files": union(files), "sample": union(samples)}
+
+
 def keep_or_drop(index: DataFrame, skip) -> DataFrame:
     """index with a column `dropped`, for a clean-up that lists both sides."""
     return index.withColumn("dropped", skip)

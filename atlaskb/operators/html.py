@@ -88,9 +88,13 @@ def _dropped(node: Element) -> bool:
     return node.tag in DROPPED or any(DROPPED_CLASS.search(c) for c in node.attrs.get("class", "").split())
 
 
-def page_text(page: str | None) -> str:
+def _tree(page: str | Element | None) -> Element:
+    return page if isinstance(page, Element) else dom(page)
+
+
+def page_text(page: str | Element | None) -> str:
     """Text of the page's main container, a line for each text node, without noise lines and short lines."""
-    root = dom(page)
+    root = _tree(page)
     kept: list[Element] = []
     stack = [root]
     while stack:
@@ -112,9 +116,9 @@ def page_text(page: str | None) -> str:
     return "\n".join(line for line in lines if len(line) >= 4 and not _NOISE.match(line))
 
 
-def page_title(page: str | None) -> str:
+def page_title(page: str | Element | None) -> str:
     """The title element, or the first heading, or nothing."""
-    nodes = list(dom(page).walk())
+    nodes = list(_tree(page).walk())
     for tag in ("title", "h1"):
         for node in nodes:
             if node.tag == tag:
@@ -122,8 +126,8 @@ def page_title(page: str | None) -> str:
     return ""
 
 
-def page_date(page: str | None) -> str | None:
-    nodes = list(dom(page).walk())
+def page_date(page: str | Element | None) -> str | None:
+    nodes = list(_tree(page).walk())
     metas = [n for n in nodes if n.tag == "meta"]
     for name in DATE_NAMES:
         for attribute in ("property", "name"):
@@ -135,8 +139,8 @@ def page_date(page: str | None) -> str | None:
     return next((n.attrs["datetime"][:10] for n in nodes if n.tag == "time" and "datetime" in n.attrs), None)
 
 
-def service_status(page: str | None) -> str | None:
-    text = " ".join(t.strip() for t in dom(page).texts() if t.strip()).lower()
+def service_status(page: str | Element | None) -> str | None:
+    text = " ".join(t.strip() for t in _tree(page).texts() if t.strip()).lower()
     if "servizio attivo" in text:
         return "attivo"
     return "non attivo" if "servizio non attivo" in text or "servizio sospeso" in text else None
@@ -147,11 +151,13 @@ def clean_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages = batch["html"].to_pylist()
-            status = [service_status(p) if c == "servizio" else None for p, c in zip(pages, batch["category"].to_pylist(), strict=True)]
-            text = lambda f: pa.array([f(p) for p in pages], pa.string())  # noqa: E731, B023
+            found = []
+            for page, category in zip(batch["html"].to_pylist(), batch["category"].to_pylist(), strict=True):
+                tree = dom(page)  # built once, and gone before the next
+                found.append((page_title(tree), page_text(tree), page_date(tree), service_status(tree) if category == "servizio" else None))
+            title, text, date, status = (pa.array(c, pa.string()) for c in (zip(*found, strict=True) if found else [[]] * 4))
             yield pa.RecordBatch.from_arrays(
-                [batch["url"], text(page_title), text(page_text), batch["category"], batch["section"], text(page_date), pa.array(status, pa.string())],
+                [batch["url"], title, text, batch["category"], batch["section"], date, status],
                 ["url", "title", "text", "category", "section", "date", "service_status"],
             )
 

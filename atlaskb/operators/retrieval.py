@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions.text import strip, word_set
 from ..functions.vectors import starts_with_zeros
-from .search import DIGITS, hybrid
+from .search import DIGITS, Index, hybrid
 
 
 def expand(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -63,19 +63,22 @@ def rerank(hits: DataFrame, queries: DataFrame, settings: Settings) -> DataFrame
     return scored.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rscore"), "rank")))
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, settings: Settings, synonyms: DataFrame | None = None, facts: DataFrame | None = None, known_bug: bool = False) -> DataFrame:
+def retrieve(chunks: DataFrame, queries: DataFrame, settings: Settings, synonyms: DataFrame | None = None, facts: DataFrame | None = None, known_bug: bool = False, index: Index | None = None) -> DataFrame:
     """(query_id, position, text, title, source, category, score): known facts, then the best chunks, top_k in all.
     Chunks have chunk_id, text, title, source, category and embedding. Queries whose vector starts with zeros are
     ranked by BM25 alone and filtered by their fused score; known_bug filters them by their cosine, which is 0."""
     expanded = expand(queries, synonyms) if synonyms is not None else queries.withColumn("expanded", F.col("question"))
-    asked = expanded.select("query_id", F.col("expanded").alias("question"), "vector", starts_with_zeros(F.col("vector")).alias("blind"))
-    k = settings.top_k * settings.fetch_factor
-    good = hybrid(chunks, asked.where(~F.col("blind")), settings, k).withColumn("passes", F.col("score") >= settings.least_similarity)
-    blind = hybrid(chunks, asked.where("blind"), settings, k, 0.0, 1.0)
-    blind = blind.withColumn("passes", (F.col("score") if known_bug else F.col("rrf")) >= settings.least_fallback)
+    blind = starts_with_zeros(F.col("vector"))
+    asked = expanded.select("query_id", F.col("expanded").alias("question"), "vector", blind.alias("blind"))
+    # One ranking for both kinds of query, by weights of their own.
+    weight = lambda value, blind: F.when(F.col("blind"), float(blind)).otherwise(float(value))
+    asked = asked.withColumns({"vector_weight": weight(settings.vector_weight, 0.0), "bm25_weight": weight(settings.bm25_weight, 1.0)})
+    found = hybrid(chunks, asked, settings, settings.top_k * settings.fetch_factor, index).join(asked.select("query_id", "blind"), "query_id")
+    fallback = (F.col("score") if known_bug else F.col("rrf")) >= settings.least_fallback
+    found = found.withColumn("passes", F.when(F.col("blind"), fallback).otherwise(F.col("score") >= settings.least_similarity)).drop("blind")
     fields = ["text", "title", "source", "category"]
     # Texts are fetched for the fused top only, which is k rows a query.
-    hits = chunks.select("chunk_id", *fields).join(F.broadcast(good.unionByName(blind)), "chunk_id")
+    hits = chunks.select("chunk_id", *fields).join(found, "chunk_id")
     ranked = rerank(dedup(hits).where("passes"), queries, settings)
     if facts is None:
         return ranked.where(F.col("position") <= settings.top_k).select("query_id", "position", *fields, "score")

@@ -14,13 +14,21 @@ def last_by_id(chunks: DataFrame, order: str = "chunk_index") -> DataFrame:
     return chunks.groupBy("chunk_id").agg(F.max_by(F.struct(*rest), order).alias("r")).select("chunk_id", "r.*")
 
 
-def upsert(store: DataFrame, batch: DataFrame, order: str = "chunk_index") -> DataFrame:
+def unit(batch: DataFrame, dim: int | None = None) -> DataFrame:
+    """batch with vectors of unit length; with `dim`, a vector of another dimension fails the job."""
+    vector = F.transform(normalised(F.col("embedding")), lambda x: x.cast("float"))
+    if dim is not None:
+        wrong = F.concat(F.lit(f"embedding dimension is not the store's {dim}: "), F.size("embedding").cast("string"))
+        vector = F.when(F.size("embedding") == dim, vector).otherwise(F.raise_error(wrong).cast("array<float>"))
+    return batch.withColumn("embedding", vector)
+
+
+def upsert(store: DataFrame, batch: DataFrame, order: str = "chunk_index", dim: int | None = None) -> DataFrame:
     """The store with the batch's rows in place of those of the same id, and the others added; vectors are
-    brought to unit length. One shuffle: union and the newest row by id."""
-    unit = batch.withColumn("embedding", F.transform(normalised(F.col("embedding")), lambda x: x.cast("float")))
-    both = store.withColumn("newer_", F.lit(0)).unionByName(last_by_id(unit, order).withColumn("newer_", F.lit(1)))
-    rest = [c for c in store.columns if c != "chunk_id"]
-    return both.groupBy("chunk_id").agg(F.max_by(F.struct(*rest), "newer_").alias("r")).select("chunk_id", "r.*").select(*store.columns)
+    brought to unit length. The store's rows are filtered by the batch's ids, not aggregated: where the ids are few,
+    the planner sends those round and the store isn't shuffled."""
+    latest = last_by_id(unit(batch, dim), order)
+    return store.join(latest.select("chunk_id"), "chunk_id", "left_anti").select(*store.columns).unionByName(latest.select(*store.columns))
 
 
 def inserted(store: DataFrame, batch: DataFrame) -> DataFrame:
@@ -58,6 +66,22 @@ def chunks_by_kind(store: DataFrame) -> DataFrame:
     return store.groupBy(kind(F.col("doc_type")).alias("kind")).agg(F.count(F.lit(1)).alias("chunks"))
 
 
+def health(store: DataFrame, gaps: DataFrame, feedback: DataFrame, log: DataFrame, last_indexed: str | None = None) -> DataFrame:
+    """One row on the state of the service: the store's size, sources, kinds and top source, gaps in all and the last five,
+    ratings, and the questions asked by hour."""
+    from . import telemetry
+
+    kinds = chunks_by_kind(store).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "chunks")))).alias("doc_types"))
+    recent = telemetry.tail(gaps, 5, ["ts"]).agg(F.array_sort(F.collect_list(F.struct("ts", "query", "chunks"))).alias("gaps_recent"))
+    hours = telemetry.hour_histogram(log).agg(F.transform(F.array_sort(F.collect_list(F.struct("hour", "n"))), lambda x: x["n"]).alias("activity"))
+    top = top_source(store).agg(F.first(F.struct("source", "title", "chunks"), ignorenulls=True).alias("top_doc"))
+    row = stats(store).withColumnsRenamed({"chunks": "indexed_chunks", "sources": "unique_sources"})
+    parts = (kinds, gaps.agg(F.count(F.lit(1)).alias("gaps_total")), recent, telemetry.feedback_summary(feedback).drop("entries"), hours, top)
+    for part in parts:  # one row each
+        row = row.crossJoin(F.broadcast(part))
+    return row.withColumns({"status": F.lit("ok"), "hybrid_search": F.col("indexed_chunks") > 0, "last_indexed": F.lit(last_indexed).cast("string")})
+
+
 def top_source(store: DataFrame, order: str = "chunk_id") -> DataFrame:
     """The source with most chunks, the first met among equals, with its first title."""
     counts = store.where("source <> ''").groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.min(order).alias("first_"), F.min_by("title", order).alias("title"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import Settings
+from ..config import LOG_MARKERS, Settings
 from ..functions.text import cache_key, normalised_query
 
 
@@ -110,9 +110,16 @@ def _carried(lines: DataFrame, own: Column) -> DataFrame:
     return filled.withColumn("ts", F.coalesce("within_", "before_", F.lit(""))).drop("own_", "range_", "within_", "before_")
 
 
-def crawl_events(lines: DataFrame) -> DataFrame:
+def marked(lines: DataFrame) -> DataFrame:
+    """Lines that hold a marker; all others are noise, whose time stamps don't count either."""
+    return lines.where(F.exists(F.array(*map(F.lit, LOG_MARKERS)), lambda m: F.contains(F.col("line"), m)))
+
+
+def crawl_events(lines: DataFrame, first_only: bool = True) -> DataFrame:
     """Events of the sync log's lines (line_no, line): type, label, chunks or pages, with the time of the line or of the
-    last one that had any. A store size is reported the first time it is met only."""
+    last marked one that had any. A store size is reported the first time it is met only, if first_only.
+    Markers and labels are fixed wording."""
+    lines = marked(lines)
     stamp = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}):\d{2},\d+ \[INFO\] (.+)$"
     own = F.regexp_extract("line", stamp, 1)
     text = F.trim(F.when(own != "", F.regexp_extract("line", stamp, 2)).otherwise(F.col("line")))
@@ -135,6 +142,8 @@ def crawl_events(lines: DataFrame) -> DataFrame:
         .when(F.col("type") == "vs_loaded", F.concat(F.lit("Vector store: "), F.format_number("chunks", 0), F.lit(" chunk")))
         .when(F.col("type") == "html_done", F.concat(F.lit("HTML: "), F.format_number("total", 0), F.lit(" pagine completate")))
     )
+    if not first_only:
+        return events.withColumn("label", label)
     met = events.where("type = 'vs_loaded'").groupBy("chunks").agg(F.min_by(F.struct(*events.columns), "line_no").alias("e")).select("e.*")
     return events.where("type <> 'vs_loaded'").union(met).withColumn("label", label)
 

@@ -161,18 +161,45 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hours that the watermark closes in a stream of the events, drained into a table in memory."""
+    import uuid
+
+    from ..streaming import streams
+
+    source = spark.readStream.schema(events(spark, sf_dir).schema).parquet(f"{sf_dir}/events.parquet*")
+    name = f"windows_{uuid.uuid4().hex}"
+    query = streams.hourly_counts(source.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+def sync_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole log written as text files and read back in order, without lines that have no marker."""
+    from ..operators import crawl
+    from ..sources import readers
+
+    path = crawl.scratch(spark, "sync-log")
+    _log(spark, sf_dir).repartitionByRange(3, "line_no").sortWithinPartitions("line_no").select("line").write.text(path)
+    # The events' numbers come back as the order of the lines.
+    lines = readers.read_sync_log(spark, path)
+    numbered = telemetry.crawl_events(lines, first_only=False).select("line_no", "type")
+    ids = _log(spark, sf_dir).agg(F.min("line_no").alias("low"))
+    return numbered.crossJoin(F.broadcast(ids)).select((F.col("line_no") + F.col("low")).alias("line_no"), "type")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         query_freq, hour_histogram, mean_response, rolling_avg, last_n, feedback_summary, negative_tail, gap_log, token_cost, token_cost_by_model, rate_limit,
-        cache_hits, crawl_history, crawl_progress, prompt_history, prompts, valid_requests, format_text, hourly_events, stream_hourly,
+        cache_hits, crawl_history, crawl_progress, prompt_history, prompts, valid_requests, format_text, hourly_events, stream_hourly, stream_windows, sync_log_lines,
     )
 }
 
-_TALK = "talk AS (SELECT conv_id * 1000 + turn AS seq, substr(text, 1, 12) AS question FROM conversations WHERE role = 'user')"
+_TALK = "talk AS (SELECT conv_id * 1000 + turn AS seq, text AS question FROM conversations WHERE role = 'user')"
 _RATE = "r AS (SELECT doc_id, CASE WHEN toxic = 1 THEN -1 WHEN quality = 1 THEN 1 ELSE 0 END AS rating FROM labels)"
 _TOK = "t AS (SELECT length(text) AS i, length(text) * 2 AS o, ['large-2', 'medium-1', 'small', 'other'][conv_id % 4 + 1] AS model FROM conversations WHERE role = 'assistant'), c AS (SELECT *, CASE WHEN starts_with(model, 'large') THEN (i * 15.0::DOUBLE + o * 75.0::DOUBLE) / 1000000 WHEN starts_with(model, 'medium') THEN (i * 3.0::DOUBLE + o * 15.0::DOUBLE) / 1000000 WHEN starts_with(model, 'small') THEN (i * 0.8::DOUBLE + o * 4.0::DOUBLE) / 1000000 ELSE 0 END AS cost FROM t)"
-_LOG = """log AS (SELECT event_id AS line_no, event_id % 5 AS k, CASE WHEN event_id % 5 <> 1 THEN strftime(ts, '%Y-%m-%d %H:%M') END AS own, event_id % 70 * 100 AS chunks FROM events WHERE event_id < 2000 AND event_id % 5 <> 4),
+_LOG = """log AS (SELECT event_id AS line_no, event_id % 5 AS k, CASE WHEN event_id % 5 <> 1 THEN strftime(ts, '%Y-%m-%d %H:%M') END AS own, event_id % 70 * 100 AS chunks FROM events WHERE event_id % 5 <> 4),
 filled AS (SELECT *, coalesce(last_value(own IGNORE NULLS) OVER (ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS ts FROM log),
 ev AS (SELECT *, CASE k WHEN 0 THEN 'vs_loaded' WHEN 1 THEN 'crawl_end' WHEN 2 THEN CASE WHEN line_no % 2 = 0 THEN 'html_done' ELSE 'html' END ELSE 'pdf' END AS type,
   row_number() OVER (PARTITION BY k, CASE WHEN k = 0 THEN chunks ELSE line_no END ORDER BY line_no) AS seen FROM filled)"""
@@ -202,7 +229,7 @@ SQL = {
     "token_cost": f"WITH {_TOK} SELECT sum(i)::BIGINT AS token_in_total, sum(o)::BIGINT AS token_out_total, round(sum(cost), 4) AS token_cost_total, floor(avg(i))::BIGINT AS token_avg_in, floor(avg(o))::BIGINT AS token_avg_out FROM c",
     "token_cost_by_model": f"WITH {_TOK} SELECT model, count(*) AS n, round(sum(cost), 6) AS cost FROM c GROUP BY model",
     "rate_limit": "SELECT user_id, count(*) FILTER (rn <= 1) AS allowed, count(*) FILTER (rn > 1) AS refused FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) AS rn FROM events) GROUP BY user_id",
-    "cache_hits": "WITH t AS (SELECT conv_id * 1000 + turn AS seq, " + _STRIP.format("lower(substr(text, 1, 3))") + " AS k FROM conversations WHERE role = 'user') SELECT count(*) AS requests, count(*) - count(DISTINCT k) AS hits FROM t",
+    "cache_hits": "WITH t AS (SELECT conv_id * 1000 + turn AS seq, " + _STRIP.format("lower(text)") + " AS k FROM conversations WHERE role = 'user') SELECT count(*) AS requests, count(*) - count(DISTINCT k) AS hits FROM t",
     "crawl_history": f"WITH {_LOG} SELECT line_no, ts, type, CASE type WHEN 'crawl_end' THEN 'Crawl HTML completato' WHEN 'vs_loaded' THEN 'Vector store: ' || format('{{:,}}', chunks) || ' chunk' ELSE 'HTML: ' || format('{{:,}}', line_no) || ' pagine completate' END AS label FROM ev WHERE type IN ('crawl_end', 'html_done') OR type = 'vs_loaded' AND seen = 1 ORDER BY line_no DESC LIMIT 20",
     "crawl_progress": f"WITH {_LOG} SELECT CASE WHEN k = 3 THEN 'pdf' ELSE 'html' END AS kind, arg_max(ts, line_no) AS ts, max(line_no) AS current, arg_max(CASE WHEN type = 'html_done' THEN line_no ELSE 99999 END, line_no) AS total FROM ev WHERE k IN (2, 3) GROUP BY 1",
     "prompt_history": "SELECT conv_id, count(*) AS n, min(turn) AS first_turn, max(turn) AS last_turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations WHERE role <> 'system') WHERE b <= 6 GROUP BY conv_id",
@@ -211,6 +238,8 @@ SQL = {
     "format_text": f"SELECT conv_id, turn, md5(t) AS html_md5, length(t) AS n_chars FROM (SELECT conv_id, turn, {_FORMAT} AS t FROM conversations)",
     "hourly_events": "SELECT event_type, count(*) AS hours, max(n) AS busiest FROM (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type",
     "stream_hourly": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
+    "stream_windows": "SELECT h AS hour, event_type, n FROM (SELECT date_trunc('hour', ts) AS h, event_type, count(*) AS n FROM events GROUP BY ALL) WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)",
+    "sync_log_lines": f"WITH {_LOG} SELECT line_no, type FROM ev",
 }
 
 

@@ -95,7 +95,7 @@ def state_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = pages(spark, sf_dir).where("page_id % 2 = 0").select("url", F.lit("old").alias("title"))
-    new = pages(spark, sf_dir).where("page_id % 3 = 0").select("url", F.lit("new").alias("title"))
+    new = pages(spark, sf_dir).where("page_id % 2 = 1 OR page_id % 3 = 0").select("url", F.lit("new").alias("title"))
     return crawl.merge_index(old, new)
 
 
@@ -186,7 +186,7 @@ SQL = {
     "removed_urls": f"WITH {_STATE} SELECT url FROM state WHERE url NOT IN (SELECT url FROM pages)",
     "state_merge": f"WITH {_STATE} SELECT url, CASE WHEN status = 'unchanged' THEN '2024-01-01T00:00:00' ELSE '2024-02-01T00:00:00' END AS last_crawled, CASE WHEN status = 'unchanged' THEN 't' ELSE 'new' END AS title, status <> 'unchanged' AS changed FROM diff",
     "state_stats": f"WITH {_STATE} SELECT count(*) AS total_tracked, count(*) FILTER (status <> 'unchanged') AS changed_last_run FROM diff",
-    "index_merge": "SELECT url, CASE WHEN page_id % 3 = 0 THEN 'new' ELSE 'old' END AS title FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0",
+    "index_merge": "SELECT url, CASE WHEN page_id % 2 = 1 OR page_id % 3 = 0 THEN 'new' ELSE 'old' END AS title FROM pages",
     "skip_existing": "SELECT page_id, url FROM pages WHERE page_id % 4 <> 0",
     "changed_semi": f"WITH {_STATE} SELECT page_id, url FROM diff WHERE status = 'changed'",
     "stale_anti": "SELECT url AS source FROM pages WHERE page_id % 3 = 0 AND page_id % 4 <> 0",

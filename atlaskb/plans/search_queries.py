@@ -66,7 +66,17 @@ def facts(spark: SparkSession) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.bm25(doc_chunks(spark, sf_dir), spark.createDataFrame(ASKED, "query_id long, question string, vec_id long"), S)
+    found = search.bm25(search.build_index(doc_chunks(spark, sf_dir)), spark.createDataFrame(ASKED, "query_id long, question string, vec_id long"), S)
+    return search.top(found, 10).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
+
+
+def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ranking from an index that was written before."""
+    from ..operators.crawl import scratch
+
+    root = scratch(spark, "index")
+    search.save_index(search.build_index(doc_chunks(spark, sf_dir)), root)
+    found = search.bm25(search.load_index(spark, root), spark.createDataFrame(ASKED, "query_id long, question string, vec_id long"), S)
     return search.top(found, 10).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
 
 
@@ -77,8 +87,8 @@ def bm25_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_df_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tok = search.tokenized(doc_chunks(spark, sf_dir))
-    weighed = search.idf(search.term_stats(tok), search.corpus_stats(tok), S)
+    index = search.build_index(doc_chunks(spark, sf_dir))
+    weighed = search.weighed(index.terms, index.corpus, S)
     return weighed.orderBy(F.desc("df"), "term").limit(50).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -100,7 +110,7 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.hybrid(chunks(spark, sf_dir), asked(spark, sf_dir), S, 21)
-    return chunks(spark, sf_dir).drop("embedding").join(F.broadcast(found), "chunk_id")
+    return chunks(spark, sf_dir).drop("embedding").join(found, "chunk_id")
 
 
 def rerank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +176,7 @@ def eval_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, bm25_corpus_stats, term_df_topk, vector_topk, vector_topk_batch, hybrid_rrf, rerank_scores, retrieve_context, context_block,
+        bm25_topk, bm25_stored, bm25_corpus_stats, term_df_topk, vector_topk, vector_topk_batch, hybrid_rrf, rerank_scores, retrieve_context, context_block,
         zero_vector_fallback, zero_vectors, dedup_text, unique_sources, expand_query, suggest_office, known_facts, detect_language, eval_retrieval,
     )
 }
@@ -274,4 +284,5 @@ SQL = {
     "detect_language": "WITH w AS (SELECT lang, list_distinct(regexp_split_to_array(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '\\s+')) AS words FROM documents) SELECT lang, CASE WHEN len(list_intersect(words, {en})) > len(list_intersect(words, {it})) THEN 'en' ELSE 'it' END AS detected, count(*) AS n FROM w GROUP BY ALL",
     "eval_retrieval": f"WITH {_QV}, {_CHUNKS}, {_hybrid('asked')}, {_FIRST.format(score='score >= 0.38')}, {_rerank('passed')}, found AS (SELECT query_id, count(DISTINCT source) AS chunks, max(CASE WHEN position = 1 THEN lower(title) END) AS answer FROM reranked WHERE position <= 7 GROUP BY query_id), k AS (SELECT query_id, string_split(question, ' ')[1:3] AS keywords, query_id % 3 AS min_chunks, coalesce(chunks, 0) AS chunks, coalesce(answer, '') AS answer FROM asked LEFT JOIN found USING (query_id)), s AS (SELECT *, len(list_filter(keywords, lambda w: contains(answer, w))) AS hit FROM k) SELECT query_id, chunks, chunks >= min_chunks AS retrieval_ok, hit AS keywords_hit, round(hit / len(keywords), 6) AS keyword_score, chunks >= min_chunks AND hit / len(keywords) >= 0.5 AS passed FROM s",
 }
+SQL["bm25_stored"] = SQL["bm25_topk"]
 SQL["detect_language"] = SQL["detect_language"].replace("{en}", _list(list(ENGLISH))).replace("{it}", _list(list(ITALIAN)))

@@ -56,13 +56,13 @@ def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_ = _store(spark, sf_dir)
     old = all_.where("chunk_index % 2 = 0")
-    batch = all_.where("chunk_index % 3 = 0").withColumn("title", F.concat(F.lit("new "), "title"))
+    batch = all_.where("chunk_index % 2 = 1 OR chunk_index % 3 = 0").withColumn("title", F.concat(F.lit("new "), "title"))
     return store.upsert(old, batch).select("chunk_id", "title", "source")
 
 
 def upsert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_ = _store(spark, sf_dir)
-    return store.inserted(all_.where("chunk_index % 2 = 0"), all_.where("chunk_index % 3 = 0"))
+    return store.inserted(all_.where("chunk_index % 2 = 0"), all_)
 
 
 def remove_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,11 +131,10 @@ _V = "sqrt(list_inner_product(v, v))"
 
 SQL = {
     "chunk_short_docs": f"WITH {_SHORT} SELECT source, chunk_index::BIGINT AS chunk_index, chunk_total::BIGINT AS chunk_total, md5(text) AS text_md5 FROM chunk",
-    "chunk_ids": f"WITH {_SHORT} SELECT source, md5(source || '::' || chunk_index || '::' || substr(text, 1, 64)) AS chunk_id FROM chunk",
     "clean_pdf_text": "WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(chr(7) || '[Pagina 1]' || repeat(chr(10), 4) || replace(text, ' ', ' ' || chr(9) || ' ') || chr(10) || '***' || chr(10) || repeat('x', 250), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '\\S{200,}', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS t FROM documents), b AS (SELECT doc_id, regexp_replace(array_to_string(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[a-zA-ZÀ-ÿ0-9]')), chr(10)), '^\\s+|\\s+$', '', 'g') AS t FROM a) SELECT doc_id, md5(t) AS text_md5, length(t) AS n_chars FROM b",
     "clean_chunk_text": f"SELECT doc_id, md5({_clean('t')}) AS text_md5 FROM (SELECT doc_id, '  Download ' || chr(10) || '3/10' || chr(10) || 'abc' || chr(10) || '  ' || text || chr(10) || 'Altro' AS t FROM documents)",
-    "upsert_merge": f"WITH {_STORE} SELECT chunk_id, CASE WHEN doc_id % 3 = 0 THEN 'new ' ELSE '' END || title AS title, source FROM store WHERE doc_id % 2 = 0 OR doc_id % 3 = 0",
-    "upsert_counts": f"WITH {_STORE} SELECT count(*) FILTER (doc_id % 2 <> 0) AS inserted, count(*) FILTER (doc_id % 2 = 0) AS updated FROM store WHERE doc_id % 3 = 0",
+    "upsert_merge": f"WITH {_STORE} SELECT chunk_id, CASE WHEN doc_id % 2 = 1 OR doc_id % 3 = 0 THEN 'new ' ELSE '' END || title AS title, source FROM store",
+    "upsert_counts": f"WITH {_STORE} SELECT count(*) FILTER (doc_id % 2 <> 0) AS inserted, count(*) FILTER (doc_id % 2 = 0) AS updated FROM store",
     "remove_sources": f"WITH {_STORE} SELECT source, count(*) AS n FROM store WHERE lang <> 'fr' GROUP BY source",
     "replace_sources": f"WITH {_STORE}, g AS (SELECT source, count(*) AS n, count(*) FILTER (lang = 'de' AND doc_id % 2 = 0) AS m FROM store GROUP BY source) SELECT source, CASE WHEN m > 0 THEN m ELSE n END AS n, m AS replaced FROM g",
     "store_stats": f"WITH {_STORE} SELECT count(*) AS chunks, count(DISTINCT source) AS sources FROM store",

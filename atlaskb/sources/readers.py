@@ -10,12 +10,13 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..config import LOG_MARKERS, Settings
-from ..functions.text import strip
+from ..config import Settings
+from ..functions.text import clean_pdf, strip
+from ..operators.telemetry import marked
 
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 EXTENSIONS = ("pdf", "txt", "docx")
@@ -53,9 +54,15 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def read_sync_log(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of the sync log that hold a marker, numbered in order within and across files."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
-    return lines.where(F.exists(F.array(*map(F.lit, LOG_MARKERS)), lambda m: F.contains(F.col("line"), m)))
+    """Lines of the sync log that hold a marker, numbered from 0 by file name, then by their place in the file; lines
+    without a marker count."""
+    block = ["file", "block"]
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
+    # Within a block of a file the rows ascend by one. A table of one row a block says how many lines lie before it.
+    counts = lines.groupBy(*block).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = counts.select(*block, (before - F.col("first")).alias("ahead"))
+    return marked(lines).join(ahead, block).select((F.col("row") + F.col("ahead")).alias("line_no"), "line")
 
 
 def read_offices(spark: SparkSession, path: str, settings: Settings) -> DataFrame:
@@ -91,9 +98,9 @@ def _colons(schema: str) -> str:
 # Inbox documents
 
 def list_inbox(spark: SparkSession, path: str) -> DataFrame:
-    """Supported files of a folder as (path, modificationTime, length, content)."""
+    """Supported files of a folder as (path, modificationTime, length, content), sorted by path."""
     files = spark.read.format("binaryFile").load(path)
-    return files.where(F.lower("path").rlike(rf"\.({'|'.join(EXTENSIONS)})$"))
+    return files.where(F.lower("path").rlike(rf"\.({'|'.join(EXTENSIONS)})$")).orderBy("path")
 
 
 def docx_text(content: bytes) -> str:
@@ -147,7 +154,15 @@ def inbox_texts(files: DataFrame) -> DataFrame:
             columns = [*(batch[c] for c in ("path", "file", "stem", "ext")), pa.array(found, pa.string()), pa.array(errors, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["path", "file", "stem", "ext", "text", "error"])
 
-    return texts.unionByName(named.where("ext <> 'txt'").mapInArrow(extract, "path string, file string, stem string, ext string, text string, error string"))
+    others = named.where("ext <> 'txt'").mapInArrow(extract, "path string, file string, stem string, ext string, text string, error string")
+    return texts.unionByName(others.withColumn("text", F.when(F.col("ext") == "pdf", clean_pdf(F.col("text"))).otherwise(F.col("text"))))
+
+
+def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
+    """(stem, title, source_url, category) of a folder's JSON files; one that can't be parsed gives nulls."""
+    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]+$", 1)
+    return files.select(stem.alias("stem"), F.from_json("value", schemas.SIDECAR).alias("m")).select("stem", "m.*")
 
 
 def with_sidecars(texts: DataFrame, sidecars: DataFrame) -> DataFrame:
@@ -163,6 +178,18 @@ def with_sidecars(texts: DataFrame, sidecars: DataFrame) -> DataFrame:
     )
 
 
+def move_with_sidecar(spark: SparkSession, path: str, folder: str) -> None:
+    """Move a file, and the JSON file of its stem if there is one, into a folder."""
+    jvm = spark.sparkContext._jvm
+    source, target = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(folder)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(target)
+    sidecar = jvm.org.apache.hadoop.fs.Path(source.getParent(), source.getName().rpartition(".")[0] + ".json")
+    for one in (source, sidecar):
+        if fs.exists(one):
+            fs.rename(one, jvm.org.apache.hadoop.fs.Path(target, one.getName()))
+
+
 # Snapshots: each write makes a new version, and readers see the newest that is complete
 
 def write_snapshot(df: DataFrame, root: str, keep: int = 7) -> str:

@@ -66,21 +66,27 @@ def cache_stream(requests: DataFrame, entries: int = 200, shard: str = "shard",
     return requests.groupBy(shard).applyInPandasWithState(step, f"shard {kind}, seq long, hit boolean", "keys array<string>", "append", "NoTimeout")
 
 
-def run_crawl_state(pages: DataFrame, root: str, emit: Callable[[DataFrame], None], checkpoint: str, now: Callable[[], str]) -> StreamingQuery:
+def run_crawl_state(pages: DataFrame, root: str, emit: Callable[[DataFrame], None], checkpoint: str, now: Callable[[], str], order: str | None = None, whole: bool = False) -> StreamingQuery:
     """Keep the state (url, hash, ...) of a stream of pages (url, html, title, file) as snapshots and emit new and
-    changed pages only."""
-    from ..operators.crawl import diff, merge_index
+    changed pages only. Of several versions of a page in a batch the last by `order` counts, or the last that
+    arrived. With `whole`, each batch is a whole crawl, and pages that it lacks leave the state."""
+    from ..operators.crawl import diff, merge_index, removed
 
     def batch(found: DataFrame, _: int) -> None:
         spark = found.sparkSession
-        latest = found.groupBy("url").agg(F.max_by(F.struct("html", "title", "file"), F.md5("html")).alias("p")).select("url", "p.*")
+        place = F.struct(F.col(order), F.monotonically_increasing_id()) if order else F.monotonically_increasing_id()
+        numbered = found.select("url", F.struct("html", "title", "file").alias("p"), place.alias("place_"))
+        latest = numbered.groupBy("url").agg(F.max_by("p", "place_").alias("p")).select("url", "p.*").persist()
         state = read_snapshot(spark, root, schemas.STATE)
+        if whole:
+            state = state.join(removed(state, latest).select("url"), "url", "left_anti")
         status = diff(latest, state).where("status <> 'unchanged'")
         fresh = latest.join(status, "url").persist()
         emit(fresh)
         rows = fresh.select("url", "hash", F.lit(now()).alias("last_crawled"), "title", "file", F.lit(True).alias("changed"))
         write_snapshot(merge_index(state.withColumn("changed", F.lit(False)), rows), root)
         fresh.unpersist()
+        latest.unpersist()
 
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -28,7 +28,7 @@ def model_bm25(question: str) -> dict[str, float]:
 
 def test_bm25_counts_repeated_query_terms(spark):
     chunks, queries = tables(spark, (1, "alpha beta beta nowhere", [1.0, 0.0]))
-    got = {r.chunk_id: r.score for r in search.bm25(chunks, queries, Settings()).collect()}
+    got = {r.chunk_id: r.score for r in search.bm25(search.build_index(chunks), queries, Settings()).collect()}
     want = model_bm25("alpha beta beta nowhere")
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in got)
 

@@ -4,7 +4,8 @@ import zipfile
 
 import pytest
 
-from atlaskb import schemas
+from atlaskb import jobs, schemas
+from atlaskb.__main__ import main
 from atlaskb.config import Settings
 from atlaskb.sources import fetch, readers
 from atlaskb.streaming import streams
@@ -128,3 +129,59 @@ def test_stream_hours_and_cache(spark, tmp_path, late):
     out = streams.append_stream(spark.readStream.schema(requests.schema).parquet(str(tmp_path / "rq")), str(tmp_path / "out"), str(tmp_path / "cp2"))
     out.awaitTermination()
     assert spark.read.json(str(tmp_path / "out")).count() == 6
+
+
+def test_sync_log_is_numbered_by_file_and_place(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "sync-1.log").write_text("".join(f"2024-01-0{i} 00:00:00,000 [INFO] [HTML {i}/9]\n" for i in (1, 2, 3)))
+    (logs / "sync-2.log").write_text("".join(f"2024-02-01 00:00:00,000 [INFO] {'[PDF ' if i % 2 else 'noise '}{i}/9]\n" for i in range(3000)))
+    rows = readers.read_sync_log(spark, str(logs)).orderBy("line_no").collect()
+    assert [r.line_no for r in rows] == [0, 1, 2, *range(4, 3003, 2)] and rows[0].line.startswith("2024-01-01") and rows[3].line.endswith("[PDF 1/9]")
+
+
+def test_inbox_job_sorts_and_moves(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    (inbox / "b.txt").write_text("A sentence of some words that say little. " * 5)
+    (inbox / "b.json").write_text(json.dumps({"title": "Title", "category": "avviso"}))
+    (inbox / "a.txt").write_text("short")
+    (inbox / "c.docx").write_bytes(b"broken")
+    base = jobs.Base(spark, str(tmp_path / "base"), Settings(embedding_dim=8))
+    told = jobs.take_inbox(base, str(inbox))
+    assert [(r.file, r.ok) for r in told.collect()] == [("a.txt", False), ("b.txt", True), ("c.docx", False)]
+    assert tuple(jobs.inbox_tallies(told).first()) == (1, 2)
+    assert sorted(p.name for p in (inbox / "processed").iterdir() if not p.name.startswith(".")) == ["b.json", "b.txt"]
+    assert sorted(p.name for p in (inbox / "errors").iterdir() if not p.name.startswith(".")) == ["a.txt", "c.docx"]
+    row = base.read("store").first()
+    assert (row.title, row.category, row.filename, len(row.embedding)) == ("Title", "avviso", "b.txt", 8)
+    assert jobs.take_inbox(base, str(inbox)).count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    urls = tmp_path / "urls"
+    urls.write_text("text:<title>T</title><main><p>" + "words of a page " * 20 + "</p></main>\ntext:<p>short</p>\n")
+    root = ["--root", str(tmp_path / "base")]
+    main([*root, "sync", "full", "--urls", str(urls), "--fetcher", "text"], spark)
+    main([*root, "index"], spark)
+    main([*root, "cleanup", "--dry-run"], spark)
+    main([*root, "stats"], spark)
+    out = capsys.readouterr().out
+    assert "full|" in out and "html|" in out
+    assert jobs.Base(spark, root[1]).read("store").count() == 1
+
+
+def test_stream_state_of_whole_crawls(spark, tmp_path):
+    kind = "url string, html string, title string, file string, seq int"
+    source = tmp_path / "pages"
+    add = lambda rows: spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(source))
+
+    def run():
+        stream = spark.readStream.schema(kind).parquet(str(source))
+        streams.run_crawl_state(stream, str(tmp_path / "state"), lambda d: d.count(), str(tmp_path / "cp"), lambda: "now", "seq", whole=True).awaitTermination()
+        return {r.url: r.title for r in readers.read_snapshot(spark, str(tmp_path / "state"), schemas.STATE).collect()}
+
+    add([("a", "z", "late", "f", 2), ("a", "y", "early", "f", 1), ("b", "1", "t", "f", 1)])
+    assert run() == {"a": "late", "b": "t"}
+    add([("b", "1", "t", "f", 3), ("c", "1", "t", "f", 3)])
+    assert run() == {"b": "t", "c": "t"}

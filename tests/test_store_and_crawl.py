@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
 
+import pytest
+
 from atlaskb.operators import crawl, embedding, evaluation, store, telemetry
 from atlaskb.plans import log_queries
 
@@ -110,9 +112,12 @@ def test_crawl_queries_read_the_whole_log(spark, tmp_path, monkeypatch):
 
 def test_stamps_are_carried_over_ranges_without_any(spark, monkeypatch):
     monkeypatch.setattr(telemetry, "RANGE", 10, raising=False)
-    stamp = "2024-01-01 0{}:00:00,000 [INFO] nothing"
+    stamp = "2024-01-01 0{}:00:00,000 [INFO] [PDF 1/2]"
     log = spark.createDataFrame([(1, "=== Crawl"), (4, stamp.format(1)), (37, "=== Crawl"), (58, "=== Crawl"), (59, stamp.format(2)), (60, "=== Crawl")], "line_no long, line string")
-    assert sorted((r.line_no, r.ts) for r in telemetry.crawl_events(log).collect()) == [(1, ""), (37, "2024-01-01 01:00"), (58, "2024-01-01 01:00"), (60, "2024-01-01 02:00")]
+    assert sorted((r.line_no, r.ts) for r in telemetry.crawl_events(log).collect()) == [(1, ""), (4, "2024-01-01 01:00"), (37, "2024-01-01 01:00"), (58, "2024-01-01 01:00"), (59, "2024-01-01 02:00"), (60, "2024-01-01 02:00")]
+    # A line without a marker is no event, and its stamp doesn't count.
+    noise = spark.createDataFrame([(1, "2024-01-01 05:00:00,000 [INFO] nothing"), (2, "=== Crawl")], "line_no long, line string")
+    assert [(r.line_no, r.ts) for r in telemetry.crawl_events(noise).collect()] == [(2, "")]
 
 
 def test_questions_are_counted_and_cached_whole(spark, tmp_path):
@@ -123,3 +128,10 @@ def test_questions_are_counted_and_cached_whole(spark, tmp_path):
     spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert [tuple(r) for r in log_queries.query_freq(spark, str(tmp_path)).collect()] == [("how do i reach the office", 3), ("how do i reach the bank", 2), ("how do i pay", 1)]
     assert tuple(log_queries.cache_hits(spark, str(tmp_path)).first()) == (6, 2)
+
+
+def test_upsert_refuses_another_dimension(spark):
+    old = rows(spark, ("a", "s", "old", 0))
+    assert store.upsert(old, old, dim=2).count() == 1
+    with pytest.raises(Exception, match="dimension"):
+        store.upsert(old, old, dim=3).collect()
