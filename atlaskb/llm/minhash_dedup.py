@@ -48,7 +48,7 @@ SLOTS = BANDS * ROWS
 #: Members that a pivot meets in one task.
 PART = 512
 #: Set elements of a block of documents that are compared with another block.
-BLOCK = 1 << 18
+BLOCK = 1 << 16
 #: Links that one task contracts.
 LINKS = 300_000
 #: Set elements for which signatures are computed together.
