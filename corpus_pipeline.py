@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the shared
 scratch folder and reads it again as the next stage's docs. All stages but the last return the columns
-of `documents`.
+of `documents`, and any further ones. Null and empty texts have no language, so they go in the first stage; very long texts
+go through whole; of rows repeated in full one stays from the second stage on; an empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atlaskb.llm import exact_dedup, language_id, minhash_dedup, packing, suffix_dedup
-from atlaskb.llm.common import read, stored
+from atlaskb.llm.common import Scratch, read
 
 #: Texts whose n-grams are this unlike every language are rejected; texts in a learned language score over 0.4.
 MIN_SCORE = 0.2
@@ -39,7 +40,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of passages; a document of which nothing is left goes."""
     cut = suffix_dedup.clean(docs, PASSAGE, "first")
     left = cut.where(F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +61,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, scratch = read(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = scratch.put(stage(spark, docs, sf_dir), name)
+        scratch.drop(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
