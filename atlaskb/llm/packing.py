@@ -7,11 +7,12 @@ are range-sorted by (key, id), and each range is packed on its own by laying its
 cutting every `size` tokens. What is left at a range's end is cut into powers of two, which need no padding.
 
 Copies share a key, so the id is part of the sort key and a large group of copies is spread over ranges.
-A task streams its range: it holds one Arrow batch, never a whole range.
+A task streams its range: it holds one Arrow batch, never a whole range. There are as many ranges as the session
+has shuffle partitions, or more if they would be over RANGE_BYTES.
 
-Defined results: a null or empty text is a document of the end token alone; a null id sorts first; rows
+Defined results: a very long text is cut into as many sequences as it needs; equal keys go by id; a null or empty text is a document of the end token alone; a null id sorts first; rows
 repeated in full are packed once each, in some order; an empty table gives an empty result; further columns
-are ignored.
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from .common import map_batches, mix, read
 SIZE, END, DIMS, BITS = 4096, 2, 3, 10
 #: Places of the hashed document vector, and bytes of a gram.
 PLACES, GRAM = 4096, 4
+#: Bytes of text of a range, about.
+RANGE_BYTES = 128 << 20
 #: Entries after which the memo of token ids by word starts anew.
 MEMO_WORDS = 800_000
 #: Characters that str.split takes for white space beside the ASCII ones that the tokenizer knows; a text with
@@ -230,7 +233,9 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     keyed = map_batches(source, key, f"doc_id {kind}, key long, text string")
-    ranged = keyed.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", F.xxhash64("text"))
+    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
+    ranged = keyed.repartitionByRange(ranges, "key", "doc_id").sortWithinPartitions("key", "doc_id", F.xxhash64("text"))
     return map_batches(
         ranged, cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tokens binary"
     )
