@@ -285,14 +285,15 @@ def _measure(root: Node) -> list[Node]:
         node, linked = stack.pop()
         order.append(node)
         linked = linked or node.tag == "a"
-        own, commas = 0, 0
+        own, commas, below = 0, 0, []
         for child in node.children:
             if isinstance(child, str):
                 if text := child.strip():
                     own += len(text)
                     commas += text.count(",") + text.count("、") + text.count("，")
             elif not child.dropped:
-                stack.append((child, linked))
+                below.append((child, linked))
+        stack += reversed(below)  # in page order
         node.chars += own
         if linked:
             node.linked += own

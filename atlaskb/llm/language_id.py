@@ -10,7 +10,8 @@ Only the profiles (languages x TOP rows) come to the driver.
 
 Defined results: `und` with score 0 for a null text or one without a letter; equal counts rank by code
 points, equal distances by the language's name; a null language is not trained on; without any training
-row every text is `und`; empty tables give empty results; further columns are ignored; repeated rows count.
+row every text is `und`; a very long text is read whole; empty tables give empty results; further columns are ignored,
+whatever their names; repeated rows count.
 """
 
 from __future__ import annotations

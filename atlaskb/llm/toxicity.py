@@ -15,7 +15,8 @@ bounded part; every document is scored, on its whole text.
 
 Defined results: a null or empty text has no features and gets the expected grade of the thresholds alone, and
 isn't toxic; labels that are null are left out; without labels of both kinds no document is toxic and the
-grade is 0; several labels of one id count each; empty tables give empty results; further columns are ignored.
+grade is 0; several labels of one id count each; repeated rows are scored each; a very long text counts as the set of its
+words; empty tables give empty results; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
