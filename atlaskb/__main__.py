@@ -37,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = parser().parse_args(arguments)
     spark = spark or SparkSession.builder.getOrCreate()
-    settings = Settings.from_env()
+    settings = Settings.from_env(file=".env")
     if args.settings:
         with open(args.settings, encoding="utf-8") as f:
             settings = settings.with_overrides(f.read())

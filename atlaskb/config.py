@@ -74,8 +74,13 @@ class Settings:
     prices: tuple[tuple[str, float, float], ...] = ()
 
     @classmethod
-    def from_env(cls, environ: dict[str, str] | None = None) -> Settings:
-        env = os.environ if environ is None else environ
+    def from_env(cls, environ: dict[str, str] | None = None, file: str | None = None) -> Settings:
+        """From the environment and, for names that it lacks, a file of NAME=value lines."""
+        env = dict(os.environ if environ is None else environ)
+        if file and os.path.exists(file):
+            with open(file, encoding="utf-8") as lines:
+                pairs = (line.strip().partition("=") for line in lines if "=" in line and not line.lstrip().startswith("#"))
+                env = {k.strip(): v.strip().strip("'\"") for k, _, v in pairs} | env
         domains = tuple(d.strip() for d in env.get("CRAWL_ALLOWED_DOMAINS", "").split(",") if d.strip())
         return cls(site_url=env.get("SITE_URL", ""), allowed_domains=domains)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import schemas
 from .config import Settings
 from .functions import urls as U
-from .operators import chunking, crawl, html, search, store
+from .operators import chunking, crawl, evaluation, html, retrieval, search, store
 from .operators.embedding import Embedder, embed, hashing_embedder
 from .sources import readers
 
@@ -188,3 +188,38 @@ def clean_up(base: Base, dry_run: bool = False) -> dict[str, DataFrame]:
         for table in ("pages", "pdfs", "state"):
             base.write(table, found[table])
     return found
+
+
+@dataclass(frozen=True)
+class Rules:
+    """The rule tables that answers go by, and the system prompts."""
+
+    synonyms: DataFrame
+    offices: DataFrame
+    facts: DataFrame
+    system_it: str = ""
+    system_en: str = ""
+
+
+def answer(base: Base, questions: DataFrame, rules: Rules, history: DataFrame) -> DataFrame:
+    """A batch of questions (query_id, question) up to the model's door: (query_id, question, messages, sources). Questions
+    become vectors by the base's embedder, with their synonyms; the index of the last run is what BM25 reads."""
+    embedder = base.embedder or hashing_embedder(base.settings.embedding_dim)
+    asked = retrieval.expand(questions.select("query_id", "question"), rules.synonyms)
+    asked = embed(asked, embedder, base.settings.embedding_dim, "expanded", base.settings.embed_batch, base.settings.embed_chars)
+    asked = crawl.kept_table(asked.drop("expanded").withColumnRenamed("embedding", "vector"), "asked")
+    hits = retrieval.retrieve(base.read("store"), asked, base.settings, rules.synonyms, rules.facts, index=base.index())
+    hits = crawl.kept_table(hits, "hits")
+    messages = retrieval.prompts(asked, retrieval.context_block(hits), rules.offices, history, rules.system_it, rules.system_en, base.settings)
+    sources = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "source", "title"))), lambda x: F.struct(x["source"].alias("source"), x["title"].alias("title"))).alias("sources"))
+    return questions.select("query_id", "question").join(messages, "query_id").join(sources, "query_id", "left")
+
+
+def evaluate(base: Base, cases: DataFrame, rules: Rules, answers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Retrieval (and, with answers, keywords) of cases (query_id, question, expected_keywords, min_chunks): the results,
+    which are kept as the next version of the base's `eval` table, and their summary."""
+    none = base.spark.createDataFrame([], "query_id long, turn int, role string, content string")
+    found = answer(base, cases, rules, none).select("query_id", F.explode("sources").alias("s")).select("query_id", "s.source")
+    path = readers.write_snapshot(evaluation.results(cases, found, answers), f"{base.root}/eval")
+    results = base.spark.read.parquet(path)
+    return results, evaluation.summary(results)

@@ -31,6 +31,24 @@ def hashing_embedder(dim: int) -> Embedder:
     return embed
 
 
+def service_embedder(address: str, model: str, chars: int = 6000, seconds: float = 120.0) -> Embedder:
+    """An embedder that asks a service: POST address/api/embed with model and input, answered by embeddings. Texts are cut to
+    the service's limit. It fails if the service does; resilient() says what then."""
+    import json
+    import urllib.request
+
+    def embed(texts: list[str]) -> list[list[float]]:
+        body = json.dumps({"model": model, "input": [t[:chars] for t in texts]}).encode()
+        request = urllib.request.Request(f"{address.rstrip('/')}/api/embed", body, {"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=seconds) as answer:
+            found = json.load(answer)["embeddings"]
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} embeddings for {len(texts)} texts")
+        return found
+
+    return embed
+
+
 def resilient(embedder: Embedder, dim: int) -> Embedder:
     """A batch that fails is tried text by text; a text that fails gets the zero vector."""
 

@@ -55,6 +55,33 @@ def sync_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.run_crawl(base, _second(spark, sf_dir), incremental=True)
 
 
+def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crawl state that a stream of two whole crawls leaves."""
+    from .. import schemas
+    from ..sources import readers
+    from ..streaming import streams
+
+    source, root, checkpoint = (crawl.scratch(spark, name) for name in ("crawls", "state", "checkpoint"))
+    found = pages(spark, sf_dir).select("page_id", _url().alias("url"), "html", F.lit("t").alias("title"), F.lit("f").alias("file"))
+    second = found.where("page_id % 5 <> 0").withColumn("html", F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit("!"))).otherwise(F.col("html")))
+    for n, one in enumerate((found, second)):
+        one.drop("page_id").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(one.drop("page_id").schema).parquet(source)
+        streams.run_crawl_state(stream, root, lambda fresh: fresh.count(), checkpoint, lambda n=n: str(n), whole=True).awaitTermination()
+    return readers.read_snapshot(spark, root, schemas.STATE).select("url", "hash", "last_crawled", "changed")
+
+
+def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates and service states of pages with meta elements, by their trees."""
+    n = F.col("page_id")
+    day = F.concat(F.lit("2024-01-"), F.format_string("%02d", n % 28 + 1))
+    head = F.when(n % 4 == 0, F.concat(F.lit('<meta property="article:modified_time" content="'), day, F.lit('T10:00:00">'))).when(n % 4 == 1, F.concat(F.lit('<meta name="date" content="'), day, F.lit('">'))).otherwise("")
+    body = F.when(n % 4 == 2, F.concat(F.lit('<time datetime="'), day, F.lit('T09:00">day</time>'))).otherwise("")
+    said = F.element_at(F.array(F.lit("Servizio attivo"), F.lit("servizio SOSPESO"), F.lit("altro testo")), (n % 3 + 1).cast("int"))
+    made = pages(spark, sf_dir).select(F.concat(F.lit("https://www.example.org/services/"), n.cast("string")).alias("url"), F.concat(F.lit("<head>"), head, F.lit("</head><main>"), body, F.lit("<p>"), said, F.lit("</p></main>")).alias("html"))
+    return html.clean_pages(made).select("url", "date", "service_status", "category")
+
+
 def content_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.element_at(F.array(F.lit("text/html"), F.lit("TEXT/HTML; charset=x"), F.lit("application/pdf"), F.lit(None), F.lit("image/png")), (F.col("page_id") % 5 + 1).cast("int"))
     found = pages(spark, sf_dir).select("url", said.alias("content_type"), F.col("html").alias("body"), F.when(F.col("page_id") % 7 == 0, "refused").alias("error"))
@@ -120,7 +147,7 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (sync_store, sync_crawl, content_routes, long_pages, new_pdfs, index_totals, cleanup_tables, cleanup_sample, inbox_tallies, health)
+    for f in (sync_store, sync_crawl, stream_state, page_metadata, content_routes, long_pages, new_pdfs, index_totals, cleanup_tables, cleanup_sample, inbox_tallies, health)
 }
 
 
@@ -134,6 +161,8 @@ def _sql() -> dict[str, str]:
     return {
         "sync_store": f"WITH {versions} SELECT 'https://www.example.org/p/' || page_id AS source, 'T' || page_id AS title, 0::BIGINT AS chunk_index, md5('T' || page_id || chr(10) || chr(10) || body) AS text_md5, 16::BIGINT AS dim FROM t WHERE length(body) >= 100 AND page_id % 5 <> 0 AND (v = 1 OR page_id % 3 = 0)",
         "sync_crawl": f"WITH {versions} SELECT 'https://www.example.org/p/' || page_id AS url, CASE WHEN page_id % 13 = 0 THEN 'other' WHEN page_id % 5 = 0 THEN 'removed' WHEN n < 100 THEN 'short' WHEN page_id % 3 = 0 THEN 'changed' ELSE 'unchanged' END AS status FROM pages LEFT JOIN (SELECT page_id, length(body) AS n FROM t WHERE v = 1) USING (page_id) WHERE page_id % 5 <> 0 OR n >= 100",
+        "stream_state": "SELECT 'https://www.example.org/p/' || page_id AS url, md5(html || CASE WHEN page_id % 3 = 0 THEN '!' ELSE '' END) AS hash, CASE WHEN page_id % 3 = 0 THEN '1' ELSE '0' END AS last_crawled, page_id % 3 = 0 AS changed FROM pages WHERE page_id % 5 <> 0",
+        "page_metadata": "SELECT 'https://www.example.org/services/' || page_id AS url, CASE WHEN page_id % 4 < 3 THEN '2024-01-' || format('{:02d}', page_id % 28 + 1) END AS date, CASE page_id % 3 WHEN 0 THEN 'attivo' WHEN 1 THEN 'non attivo' END AS service_status, 'servizio' AS category FROM pages",
         "content_routes": "SELECT CASE WHEN page_id % 7 = 0 THEN 'error' WHEN page_id % 5 < 2 THEN 'html' WHEN page_id % 5 = 2 THEN 'pdf' ELSE 'other' END AS kind, count(*) AS n FROM pages GROUP BY 1",
         "long_pages": text + " SELECT page_id FROM t WHERE length(text) >= 100",
         "new_pdfs": "SELECT DISTINCT 'https://www.example.org/d/' || n || '.PDF' AS url FROM (SELECT unnest([page_id, page_id % 10]) AS n FROM pages) WHERE n % 3 <> 0 OR n NOT IN (SELECT page_id FROM pages)",

@@ -174,6 +174,57 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
+def stream_over_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users with more requests in an hour than allowed, in the hours that the watermark closes."""
+    import uuid
+
+    from ..streaming import streams
+
+    source = spark.readStream.schema(events(spark, sf_dir).schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    name = f"over_{uuid.uuid4().hex}"
+    streams.over_limit(source, 1).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback of a stream, appended to a log of JSON lines and read back."""
+    from .. import schemas
+    from ..operators import crawl
+    from ..sources import readers
+    from ..streaming import streams
+
+    schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
+    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parquet*")
+    rows = source.select(F.col("conv_id").cast("string").alias("ts"), (F.col("turn") % 4 - 1).cast("int").alias("rating"), F.col("text").alias("question"), F.col("text").alias("answer"))
+    path = crawl.scratch(spark, "feedback")
+    streams.append_stream(telemetry.feedback_rows(rows), path, crawl.scratch(spark, "checkpoint")).awaitTermination()
+    found = readers.read_log(spark, path, schemas.FEEDBACK)
+    return found.groupBy("rating").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("question")).cast("long").alias("longest"), F.max(F.length("answer_preview")).cast("long").alias("longest_answer"))
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of JSON lines, some blank, some malformed, read without those."""
+    from .. import schemas
+    from ..operators import crawl
+    from ..sources import readers
+
+    e = events(spark, sf_dir)
+    k, json = F.col("event_id") % 5, F.to_json(F.struct(F.col("event_id").cast("string").alias("ts"), F.col("event_type").alias("query"), (F.col("event_id") % 3).cast("int").alias("chunks")))
+    line = F.when(k == 0, "").when(k == 1, "   ").when(k == 2, F.concat(F.lit("not json "), json)).otherwise(json)
+    path = crawl.scratch(spark, "gaps")
+    e.select(line.alias("line")).write.text(path)
+    return readers.read_log(spark, path, schemas.GAP).groupBy("query", F.col("chunks").cast("long").alias("chunks")).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
+
+
+def keyword_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of expected keywords in answers."""
+    from ..operators import evaluation
+
+    keywords = F.when(F.col("turn") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("the"), F.lit("que"), F.lit("und")))
+    answers = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'assistant'")
+    return answers.select("conv_id", "turn", F.round(evaluation.keyword_score(F.col("text"), keywords), 6).alias("score"))
+
+
 def sync_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole log written as text files and read back in order, without lines that have no marker."""
     from ..operators import crawl
@@ -192,7 +243,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         query_freq, hour_histogram, mean_response, rolling_avg, last_n, feedback_summary, negative_tail, gap_log, token_cost, token_cost_by_model, rate_limit,
-        cache_hits, crawl_history, crawl_progress, prompt_history, prompts, valid_requests, format_text, hourly_events, stream_hourly, stream_windows, sync_log_lines,
+        cache_hits, crawl_history, crawl_progress, prompt_history, prompts, valid_requests, format_text, hourly_events, stream_hourly, stream_windows, sync_log_lines, stream_over_limit, stream_append, log_lines, keyword_scores,
     )
 }
 
@@ -239,6 +290,10 @@ SQL = {
     "hourly_events": "SELECT event_type, count(*) AS hours, max(n) AS busiest FROM (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type",
     "stream_hourly": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "stream_windows": "SELECT h AS hour, event_type, n FROM (SELECT date_trunc('hour', ts) AS h, event_type, count(*) AS n FROM events GROUP BY ALL) WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)",
+    "stream_over_limit": "SELECT h AS hour, user_id, n FROM (SELECT date_trunc('hour', ts) AS h, user_id, count(*) AS n FROM events GROUP BY ALL) WHERE n > 1 AND h + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)",
+    "stream_append": "SELECT rating, count(*) AS n, max(length(substr(text, 1, 200))) AS longest, max(length(substr(text, 1, 100))) AS longest_answer FROM (SELECT turn % 4 - 1 AS rating, text FROM conversations) WHERE rating BETWEEN -1 AND 1 GROUP BY rating",
+    "log_lines": "SELECT event_type AS query, event_id % 3 AS chunks, count(*) AS n, max(event_id::VARCHAR) AS last FROM events WHERE event_id % 5 > 2 GROUP BY ALL",
+    "keyword_scores": "SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 1.0::DOUBLE ELSE round(len(list_filter(['the', 'que', 'und'], lambda k: contains(lower(text), k))) / 3, 6) END AS score FROM conversations WHERE role = 'assistant'",
     "sync_log_lines": f"WITH {_LOG} SELECT line_no, type FROM ev",
 }
 

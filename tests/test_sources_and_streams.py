@@ -185,3 +185,60 @@ def test_stream_state_of_whole_crawls(spark, tmp_path):
     assert run() == {"a": "late", "b": "t"}
     add([("b", "1", "t", "f", 3), ("c", "1", "t", "f", 3)])
     assert run() == {"b": "t", "c": "t"}
+
+
+def test_embedding_service(spark):
+    import http.server
+    import threading
+
+    from atlaskb.operators import embedding
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["input"]
+            bad = len(asked) > 1 and "bad" in asked
+            body = json.dumps({"embeddings": [[float(len(t)), 1.0] for t in asked]}).encode()
+            self.send_response(500 if bad else 200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        ask = embedding.service_embedder(f"http://127.0.0.1:{server.server_port}/", "m", chars=4)
+        assert ask(["ab", "abcdef"]) == [[2.0, 1.0], [4.0, 1.0]]
+        assert embedding.resilient(ask, 2)(["bad", "x"]) == [[3.0, 1.0], [1.0, 1.0]]
+        server.shutdown()
+        server.server_close()
+        assert embedding.resilient(ask, 2)(["x"]) == [[0.0, 0.0]]
+    finally:
+        server.server_close()
+
+
+def test_settings_from_a_file(tmp_path):
+    (tmp_path / ".env").write_text("# comment\nSITE_URL='https://a'\nCRAWL_ALLOWED_DOMAINS=x.org, y.org\n")
+    found = Settings.from_env({"SITE_URL": "https://b"}, str(tmp_path / ".env"))
+    assert (found.site_url, found.allowed_domains) == ("https://b", ("x.org", "y.org"))
+
+
+def test_answers_and_evaluation_of_a_base(spark, tmp_path):
+    page = lambda words: (f"text:{words}", 200, "text/html", f"<title>{words}</title><main><p>{(words + ' ') * 12}</p></main>".encode(), None)
+    fetched = spark.createDataFrame([page("opening hours of the office"), page("identity card renewal")], fetch.SCHEMA)
+    base = jobs.Base(spark, str(tmp_path / "base"), Settings(embedding_dim=64, least_similarity=0.1))
+    assert jobs.sync(base, "full", fetched).first().chunks == 2
+    rules = jobs.Rules(
+        spark.createDataFrame([(0, "document", ["identity card"])], "ord int, term string, synonyms array<string>"),
+        spark.createDataFrame([(0, ["office"], "Desk", "/d")], "ord int, keywords array<string>, name string, url string"),
+        spark.createDataFrame([], "ord int, keywords array<string>, require_any array<string>, text string, title string, source string, category string"),
+        "it", "en",
+    )
+    cases = spark.createDataFrame([(1, "when is the office open", ["hours"], 1), (2, "renewal of my document", [], 1)], "query_id long, question string, expected_keywords array<string>, min_chunks int")
+    history = spark.createDataFrame([(1, 0, "user", "hello")], "query_id long, turn int, role string, content string")
+    got = {r.query_id: r for r in jobs.answer(base, cases, rules, history).collect()}
+    assert got[1].sources[0].title == "opening hours of the office" and got[2].sources[0].title == "identity card renewal"
+    assert [m.role for m in got[1].messages] == ["system", "user", "user"] and "[Fonte 1: opening hours" in got[1].messages[-1].content
+    results, summary = jobs.evaluate(base, cases, rules)
+    assert results.where("retrieval_ok").count() == summary.first().retrieval_ok == 2
