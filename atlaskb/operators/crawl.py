@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     context's checkpoint folder or the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     root = root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+#: What scratch() gave out and drop() hasn't deleted; it goes when the driver ends.
+_made: list[tuple[SparkSession, str]] = []
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    _made.remove((spark, path))
+
+
+@atexit.register
+def _sweep() -> None:
+    for spark, path in list(_made):
+        if spark.sparkContext._jsc is not None:
+            try:
+                drop(spark, path)
+            except Exception:  # noqa: BLE001  the JVM may be gone at exit; the folder is scratch
+                return
 
 
 def kept_table(df: DataFrame, name: str) -> DataFrame:
