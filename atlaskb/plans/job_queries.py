@@ -168,7 +168,7 @@ def _sql() -> dict[str, str]:
         "new_pdfs": "SELECT DISTINCT 'https://www.example.org/d/' || n || '.PDF' AS url FROM (SELECT unnest([page_id, page_id % 10]) AS n FROM pages) WHERE n % 3 <> 0 OR n NOT IN (SELECT page_id FROM pages)",
         "index_totals": f"WITH {versions}, d AS (SELECT page_id FROM t WHERE v = 1 AND length(body) >= 100 AND page_id % 10 NOT IN (5, 7)) SELECT count(*) AS documents, count(*) AS indexed, count(*) AS chunks FROM d",
         "cleanup_tables": f"SELECT part, count(*) FILTER (reason = '') AS kept, count(*) FILTER (reason <> '') AS dropped FROM (SELECT 'pages' AS part, reason FROM ({reason('pages')}) UNION ALL SELECT 'pdfs', reason FROM ({reason('(SELECT page_id, url || chr(47) || chr(97) || chr(47) || chr(98) || chr(47) || chr(97) AS url FROM pages)')}) UNION ALL SELECT 'state', 'address' FROM pages) GROUP BY part UNION ALL SELECT 'files', NULL, count(*) FILTER (reason <> '') FROM ({reason('pages')})",
-        "cleanup_sample": "SELECT 'pages' AS part, url || '/feed/' AS url FROM pages ORDER BY url LIMIT 5",
+        "cleanup_sample": f"WITH u AS (SELECT page_id, url || '/feed/' AS url FROM pages) SELECT 'pages' AS part, url FROM ({reason('u')}) WHERE reason <> '' ORDER BY url LIMIT 5",
         "inbox_tallies": "SELECT count(*) FILTER (length(text) >= 100) AS ok, count(*) FILTER (length(text) < 100) AS errors FROM documents",
         "health": f"WITH {store_queries._STORE}, {log_queries._RATE}, g AS (SELECT conv_id * 1000 + turn AS ts FROM conversations WHERE role = 'user' AND turn % 3 = 0) SELECT 'ok' AS status, (SELECT count(*) FROM store) AS indexed_chunks, (SELECT count(DISTINCT source) FROM store) AS unique_sources, (SELECT count(*) > 0 FROM store) AS hybrid_search, (SELECT count(*) FROM store WHERE doc_type IN ('', 'html')) AS html_chunks, (SELECT count(*) FROM store WHERE doc_type IN ('pdf', 'document')) AS pdf_chunks, (SELECT count(*) FROM g) AS gaps_total, (SELECT format('{{:012d}}', max(ts)) FROM g) AS last_gap, (SELECT count(*) FROM r WHERE rating = 1) AS positive, (SELECT count(*) FROM r WHERE rating = -1) AS negative, (SELECT count(*) FROM events WHERE hour(ts) = 12) AS at_noon, (SELECT max(n) FROM (SELECT count(*) AS n FROM store GROUP BY source)) AS top_chunks",
     }
