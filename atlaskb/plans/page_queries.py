@@ -66,7 +66,9 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_text_dom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.clean_pages(pages(spark, sf_dir)).select("url", "title", F.length("text").cast("long").alias("n_chars"), "category", "section")
+    """The same by the pages' trees: on these pages, whose container is an article, the text nodes are what lies between tags."""
+    found = html.clean_pages(pages(spark, sf_dir))
+    return found.select("url", "title", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"), "category", "section")
 
 
 def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,6 +172,10 @@ for _tag in sorted(html.DROPPED):
     _ARTICLE = f"regexp_replace({_ARTICLE}, '(?is)<{_tag}[ >].*?</{_tag}>', '', 'g')"
 _ARTICLE = _UNESCAPE.format(f"regexp_replace(regexp_replace({_ARTICLE}, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', chr(10), 'g')")
 
+_KIND = """CASE WHEN contains(p, '/services/') OR contains(p, '/service/') THEN 'servizio' WHEN contains(p, '/news/') OR contains(p, '/news-category/') OR contains(p, '/notizie/') THEN 'notizia'
+  WHEN contains(p, '/faq') THEN 'faq' WHEN contains(p, '/public_documents/') OR contains(p, '/documents/') THEN 'documento' WHEN contains(p, '/topics/') THEN 'argomento' ELSE 'pagina' END"""
+_SECTION = """CASE WHEN contains(h, 'amministrazionetrasparente') THEN 'trasparenza' WHEN contains(h, 'sportellounico') OR contains(h, 'suap') THEN 'suap'
+  WHEN contains(h, 'ambitosociale') THEN 'ambito_sociale' WHEN contains(h, 'servizi.') THEN 'servizi_online' ELSE 'sito_principale' END"""
 SQL = {
     "url_parts": f"SELECT page_id, scheme, host, path, query, len(list_filter(string_split(path, '/'), lambda s: s <> '')) AS depth FROM (SELECT page_id, {_PARTS} FROM pages)",
     "should_skip": f"WITH u AS (SELECT page_id, CASE WHEN page_id % 7 = 1 THEN 'ftp' || substr(url, 5) WHEN page_id % 7 = 2 THEN url || '/a/b/a' ELSE url END AS url FROM pages) SELECT page_id, reason FROM ({_reason('u')})",
@@ -182,6 +188,7 @@ SQL = {
     "link_counts": f"SELECT href, count(*) AS n FROM (SELECT unnest({_HREFS}) AS href FROM pages) GROUP BY href ORDER BY n DESC, href LIMIT 50",
     "page_title": "SELECT page_id, regexp_replace(" + _UNESCAPE.format("regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g')") + ", '^\\s+|\\s+$', '', 'g') AS title FROM pages",
     "page_text": f"WITH t AS (SELECT page_id, array_to_string(list_filter(list_transform(regexp_split_to_array({_ARTICLE}, '\\r\\n|[\\n\\r]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) >= 4 AND NOT regexp_matches(x, '{_NOISE}')), chr(10)) AS text FROM pages) SELECT page_id, md5(text) AS text_md5, length(text) AS n_chars FROM t",
+    "page_text_dom": "",
     "crawl_diff": f"WITH {_STATE} SELECT status, count(*) AS n, min(url) AS first_url FROM diff GROUP BY status",
     "removed_urls": f"WITH {_STATE} SELECT url FROM state WHERE url NOT IN (SELECT url FROM pages)",
     "state_merge": f"WITH {_STATE} SELECT url, CASE WHEN status = 'unchanged' THEN '2024-01-01T00:00:00' ELSE '2024-02-01T00:00:00' END AS last_crawled, CASE WHEN status = 'unchanged' THEN 't' ELSE 'new' END AS title, status <> 'unchanged' AS changed FROM diff",
@@ -193,3 +200,8 @@ SQL = {
     "cleanup_counts": f"SELECT reason <> '' AS dropped, count(*) AS n FROM ({_reason('pages')}) GROUP BY 1",
     "link_bfs": "WITH RECURSIVE e AS (SELECT page_id AS src, unnest([page_id * 2 + 1, page_id + 17]) AS dst FROM pages), r(id, depth) AS (SELECT 0::BIGINT, 0::BIGINT UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.id JOIN pages p ON p.page_id = e.dst) SELECT depth, count(*) AS n FROM (SELECT id, min(depth) AS depth FROM r GROUP BY id) GROUP BY depth",
 }
+
+# The regular expressions of page_title and page_text, with the kind and section by path and host.
+SQL["page_text_dom"] = f"""SELECT url, title, text_md5, n_chars, {_KIND} AS category, {_SECTION} AS section
+FROM (SELECT page_id, url, lower(path) AS p, lower(host) AS h FROM (SELECT page_id, url, {_PARTS} FROM pages))
+JOIN ({SQL["page_text"]}) USING (page_id) JOIN ({SQL["page_title"]}) USING (page_id)"""
