@@ -6,7 +6,8 @@ windows (strings of `length` bytes) together:
 1. Every window has a minimizer: the smallest hash of its GRAM-byte substrings (`key`). Neighbouring windows
    with the same key make a run, however long, so a periodic text is one run and not one for each byte. Equal windows have
    equal keys, so only runs with the same key can hold equal windows. A key met once is dropped, unless its run has
-   several minimizers (`multi`) and may repeat itself.
+   several minimizers (`multi`) and may repeat itself. A run's periodic stretch repeats its first period, so that only the first
+   period goes on.
 2. Runs with identical bytes are one string from here on; each further occurrence has a longest previous factor that
    reaches `length` everywhere, by being a copy.
 3. The distinct runs of a key are fetched and laid end to end, in order of (doc_id, start). On that text the
@@ -179,27 +180,51 @@ def _flat_runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def _find_runs(length: int):
+def without_periods(data: bytes, at: np.ndarray, windows: int, length: int, first: bool) -> list[tuple[int, int, bool, bool]]:
+    """The parts (first window, number of windows, repeated, certain) of a run with several minimizers, whose places are `at`. If
+    its longest stretch of the period that they suggest holds two periods of windows or more, the windows after the first
+    period are certain repeats, and if `first` is not wanted those of the first period are repeated too."""
+    steps, times = np.unique(np.diff(np.unique(at)), return_counts=True)
+    period = int(steps[times.argmax()])
+    body = np.frombuffer(data, dtype=np.uint8)
+    low, high = _flat_runs(body[period:] == body[:-period])
+    if not len(low):
+        return [(0, windows, False, False)]
+    best = int((high - low).argmax())
+    # Windows a to b, b not included, equal the one a period later; those a period later equal an earlier one.
+    a, b = int(low[best]), int(high[best]) - length + 1
+    end = min(b + period, windows)
+    if end - a < 2 * period:
+        return [(0, windows, False, False)]
+    parts = [(0, a, False, False), (a, period, not first, False), (end, windows - end, False, False)]
+    parts.append((a + period, end - a - period, False, True) if first else (a, end - a, False, True))
+    return [part for part in parts if part[1] > 0]
+
+
+def _find_runs(length: int, first: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, keys, bodies, starts, counts, multi = [], [], [], [], [], []
+            take, fields = [], []
             for i, text in enumerate(batch["text"].to_pylist()):
                 data = (text or "").encode()
                 if len(data) < length:
                     continue
-                k, s, n, m = minimizer_runs(np.frombuffer(data, dtype=np.uint8), length)
-                keys.append(_signed(k))
-                starts.append(s)
-                counts.append(n)
-                multi.append(m)
-                bodies += [xxhash.xxh3_64_intdigest(data[a : a + z]) for a, z in zip(s.tolist(), (n + length - 1).tolist(), strict=True)]
-                take.append(np.full(len(s), i))
-            if take:
-                at = pa.array(np.concatenate(take))
-                yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].take(at), batch["text_hash"].take(at), pa.array(np.concatenate(keys)), pa.array(_signed(np.array(bodies, dtype=np.uint64))), pa.array(np.concatenate(starts), pa.int32()), pa.array(np.concatenate(counts), pa.int32()), pa.array(np.concatenate(multi))],
-                    ["doc_id", "text_hash", "key", "body_hash", "start", "windows", "multi"],
-                )
+                found = (x.tolist() for x in minimizer_runs(np.frombuffer(data, dtype=np.uint8), length))
+                for key, start, n, several in zip(*found, strict=True):
+                    key -= key >> 63 << 64
+                    body, parts = data[start : start + n - 1 + length], [(0, n, False, False)]
+                    if several:
+                        parts = without_periods(body, minimizers(np.frombuffer(body, dtype=np.uint8), length)[1], n, length, first)
+                    for at, m, repeated, certain in parts:
+                        fields.append((key, 0 if certain else xxhash.xxh3_64_intdigest(body[at : at + m - 1 + length]) - (1 << 63), start + at, m, several, repeated, certain))
+                        take.append(i)
+            at = pa.array(take, pa.int64())
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_()]
+            columns = zip(*fields, strict=True) if fields else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"].take(at), batch["text_hash"].take(at), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                ["doc_id", "text_hash", "key", "body_hash", "start", "windows", "multi", "repeated", "certain"],
+            )
 
     return rows
 
@@ -354,13 +379,13 @@ def spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", id_col: str
     first, scratch = keep == "first", Scratch(docs.sparkSession, "suffix")
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     owner = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_hash long"
-    every = scratch.put(map_batches(source, _find_runs(length), f"{owner}, {_RUN}"), "runs")
-    met = every.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("multi").alias("multi"))
+    reach = (F.col("start") + F.col("windows") + F.lit(length - 1)).alias("high")
+    every = scratch.put(map_batches(source, _find_runs(length, first), f"{owner}, {_RUN}, repeated boolean, certain boolean"), "runs")
+    found = [scratch.put(every.where("certain").select("doc_id", "text_hash", F.col("start").alias("low"), reach), "periods")]
+    met = every.where("NOT certain").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("multi").alias("multi"))
     shared = scratch.put(met.where("n > 1 OR multi").select("key"), "repeated")
-    runs = scratch.put(every.join(shared, "key", "left_semi").withColumn("repeated", F.lit(False)), "shared")
+    runs = scratch.put(every.where("NOT certain").drop("certain").join(shared, "key", "left_semi"), "shared")
     scratch.drop(every, shared)
-    found: list[DataFrame] = []
-    reach = (F.col("start") + F.col("windows") + F.lit(length - 1)).alias("high")
 
     def level(runs: DataFrame, columns: list[str]) -> DataFrame:
         """The distinct runs that must be compared; notes the spans that are repeated whole."""

@@ -115,6 +115,29 @@ def test_large_keys_are_cut_and_stay_exact(spark, monkeypatch, keep):
     check_suffix(spark, messy_texts(7, 30) + periodic, 24, keep)
 
 
+def test_periods_of_a_run_are_certain():
+    rnd = random.Random(3)
+    for _ in range(300):
+        unit = "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 9)))
+        data = ("".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 12))) + unit * rnd.randint(1, 12) + "".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 12)))).encode()
+        length = 12
+        n = len(data) - length + 1
+        if n < 3:
+            continue
+        windows = [data[i : i + length] for i in range(n)]
+        at = np.cumsum([0, *(rnd.choice([len(unit), len(unit), 1]) for _ in range(6))])
+        for first in (True, False):
+            parts = suffix_dedup.without_periods(data, at, n, length, first)
+            kept = [i for a, m, _, certain in parts if not certain for i in range(a, a + m)]
+            sure = [i for a, m, _, certain in parts if certain for i in range(a, a + m)]
+            assert len(set(kept)) == len(kept) and set(kept) | set(sure) == set(range(n))
+            for i in sure:
+                assert windows[i] in windows[:i] if first else windows.count(windows[i]) > 1
+            assert {windows[i] for i in kept} == set(windows)
+            for a, m, repeated, certain in parts:
+                assert not repeated or not first and all(windows.count(windows[i]) > 1 for i in range(a, a + m))
+
+
 def test_periodic_text_is_few_runs():
     def runs(text):
         return len(suffix_dedup.minimizer_runs(np.frombuffer(text.encode(), dtype=np.uint8), 400)[0])
