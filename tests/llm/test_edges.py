@@ -192,9 +192,9 @@ def test_search_scores_do_not_depend_on_blocks(spark, monkeypatch):
     docs = [(i, " ".join(rng.choice(words[i % 3], size=40, p=(w := 1 / np.arange(1, 301)) / w.sum()))) for i in range(900)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     found = {}
-    for block, most in ((8, 2), (64, 32)):
+    for block, growth in ((8, 1), (64, 5)):
         monkeypatch.setattr(search, "BLOCK", block)
-        monkeypatch.setattr(search, "MOST_BLOCKS", most)
+        monkeypatch.setattr(search, "GROWTH", growth)
         found[block] = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in search.top_k(frame, frame.where("doc_id % 50 = 0"), 10).collect())
     assert found[8] == found[64] and len(found[8]) == 18 * 10
 
