@@ -211,6 +211,8 @@ def brute_components(texts, words, percent):
     ids = sorted(sets)
     for n, a in enumerate(ids):
         for b in ids[:n]:
+            if 100 * min(len(sets[a]), len(sets[b])) < percent * max(len(sets[a]), len(sets[b])):
+                continue
             both = len(sets[a] & sets[b])
             if both and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = root(a), root(b)
