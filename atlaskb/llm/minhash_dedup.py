@@ -17,8 +17,8 @@
    copies is mostly one component now, at a cost in proportion to its members. A pivot's set is sent once for each PART
    members that it meets, and a member's once for each of its pivots. Buckets that still hold several components are
    narrowed: their members meet again only if they share one of their rarest shingles, as any two that link must. What
-   these narrow buckets connect is compared in blocks of BLOCK elements, in the blocks' inverted indexes; two blocks of one
-   component are not compared. So every pair across components that could link has been compared.
+   these narrow buckets connect is compared in blocks of BLOCK to WIDEST elements, in the blocks' inverted indexes; two blocks
+   of one component are not compared. Pairs of blocks are sent in rounds, so that the disk follows the input. So every pair across components that could link has been compared.
 6. Union-find: each task contracts its links to a forest, then labels spread over the forests' edges by
    hooking to the smallest neighbour and jumping chains to their ends, in rounds that each end. Links stay in tables of the shared folder.
 
@@ -47,8 +47,11 @@ BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 #: Members that a pivot meets in one task.
 PART = 512
-#: Set elements of a block of documents that are compared with another block.
-BLOCK = 1 << 16
+#: Set elements of a block of documents that are compared with another block: a family has up to FEW blocks of the first
+#: size, then FEW larger ones, then more of the second size, as a block is sent once for each block that it meets.
+BLOCK, WIDEST, FEW = 1 << 16, 1 << 20, 16
+#: Set elements that are sent to meet at once; at least twice those of all families are, so the rounds don't grow with them.
+ROUND = 1 << 26
 #: Links that one task contracts.
 LINKS = 300_000
 #: Set elements for which signatures are computed together.
@@ -233,26 +236,40 @@ def _meet_blocks(percent: int):
 
 
 def _in_blocks(open_: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """The links (a, b) between labels of open_ (node, label, family, size), within families."""
-    sums = scratch.put(open_.groupBy("family", "label").agg(F.sum("size").alias("elements")), "sums")
+    """The links (a, b) between labels of open_ (node, label, family, size), within families. Pairs of blocks meet in
+    rounds, as what they are sent grows with the square of a family's size."""
+    sums = open_.groupBy("family", "label").agg(F.sum("size").alias("elements"))
+    room = open_.groupBy("family").agg(F.least(F.greatest(F.ceil(F.sum("size") / FEW), F.lit(BLOCK)), F.lit(max(BLOCK, WIDEST))).alias("room"))
+    sums = scratch.put(sums.join(room, "family"), "sums")
     # A component that fills blocks has its own; the others of a family share some. The number is a matter of layout only.
-    whose = F.when(F.col("elements") >= BLOCK, F.col("label"))
-    kinds = sums.withColumn("whose", whose).groupBy("family", "whose").agg(F.ceil(F.sum("elements") / BLOCK).cast("int").alias("blocks"))
-    blocks = kinds.select("family", "whose", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("number"))
+    whose = F.when(F.col("elements") >= F.col("room"), F.col("label"))
+    kinds = sums.withColumn("whose", whose).groupBy("family", "whose").agg(F.ceil(F.sum("elements") / F.first("room")).cast("int").alias("blocks"), F.sum("elements").alias("elements"))
+    blocks = kinds.select("family", "whose", "blocks", F.ceil(F.col("elements") / F.col("blocks")).alias("filled"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("number"))
     blocks = scratch.put(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
     # The sums are joined on what is never null.
-    members = open_.join(sums.withColumn("whose", F.coalesce(whose, F.lit(-1))).drop("elements"), ["family", "label"])
+    members = open_.join(sums.withColumn("whose", F.coalesce(whose, F.lit(-1))).drop("elements", "room"), ["family", "label"])
     spread = blocks.withColumn("whose", F.coalesce("whose", F.lit(-1)))
     counts = spread.where("number = 0").select("family", "whose", "blocks")
     members = members.join(counts, ["family", "whose"]).withColumn("number", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = scratch.put(members.join(spread.drop("blocks"), ["family", "whose", "number"]).select("node", "label", "block"), "members")
-    one = blocks.select("family", F.col("block").alias("one"), F.col("whose").alias("whose_one"))
-    two = blocks.select("family", F.col("block").alias("two"), F.col("whose").alias("whose_two"))
-    pairs = scratch.put(one.join(two, "family").where("one <= two AND coalesce(whose_one <> whose_two, true)").select("one", "two"), "block-pairs")
-    sides = pairs.select("one", "two", F.lit(0).alias("side"), F.col("one").alias("block")).union(pairs.select("one", "two", F.lit(1).alias("side"), F.col("two").alias("block")))
-    met = sides.join(members, "block").select("one", "two", "side", "label", "node").join(sets, "node")
-    met = met.repartition("one", "two").sortWithinPartitions("one", "two", "side", "node")
-    return map_batches(met.select("one", "two", "side", "label", "elements"), _meet_blocks(percent), "a long, b long")
+    members = scratch.put(members.join(spread.drop("blocks", "filled"), ["family", "whose", "number"]).select("node", "label", "block"), "members")
+    theirs = scratch.put(sets.join(members.select("node"), "node", "left_semi"), "open-sets")
+    one = blocks.select("family", F.col("block").alias("one"), F.col("whose").alias("whose_one"), F.col("filled").alias("filled_one"))
+    two = blocks.select("family", F.col("block").alias("two"), F.col("whose").alias("whose_two"), F.col("filled").alias("filled_two"))
+    pairs = one.join(two, "family").where("one <= two AND coalesce(whose_one <> whose_two, true)")
+    pairs = scratch.put(pairs.select("one", "two", (F.col("filled_one") + F.col("filled_two")).alias("sent")), "block-pairs")
+    held, sent = sums.agg(F.sum("elements")).first()[0] or 0, pairs.agg(F.sum("sent")).first()[0] or 0
+    rounds, found = max(1, -(-sent // max(ROUND, 2 * held))), []
+    for i in range(rounds):
+        now = pairs.where(F.pmod(F.xxhash64("one", "two"), F.lit(rounds)) == i)
+        sides = now.select("one", "two", F.lit(0).alias("side"), F.col("one").alias("block")).union(now.select("one", "two", F.lit(1).alias("side"), F.col("two").alias("block")))
+        met = sides.join(members, "block").select("one", "two", "side", "label", "node").join(theirs, "node")
+        met = met.repartition("one", "two").sortWithinPartitions("one", "two", "side", "node")
+        found.append(scratch.put(map_batches(met.select("one", "two", "side", "label", "elements"), _meet_blocks(percent), "a long, b long"), "met"))
+    scratch.drop(sums, blocks, members, theirs, pairs)
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    return links
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -305,3 +305,30 @@ def test_connected_ends_when_no_two_links_meet(spark, monkeypatch):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert got == {i: 1 for i in range(2, 10)} | {i: 20 for i in (21, 22, 23)}
+
+
+@pytest.mark.parametrize("widest", [500, 1 << 20])
+def test_large_families_meet_in_few_blocks_or_in_rounds(spark, monkeypatch, widest):
+    """64 sets of 500 elements, blocks of 500: all pairs of 64 blocks send 64 times the family."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 500)
+    monkeypatch.setattr(minhash_dedup, "WIDEST", widest, raising=False)
+    monkeypatch.setattr(minhash_dedup, "ROUND", 1, raising=False)
+    most, put = [], Scratch.put
+
+    def noted(self, df, name):
+        done = put(self, df, name)
+        if name == "met":
+            most.append(name)
+        elif name == "block-pairs":
+            most.append(done.count())
+        return done
+
+    monkeypatch.setattr(Scratch, "put", noted)
+    # Each set shares 470 elements with the one of its couple, none with others.
+    sets = {i: [i // 2 * 1000 + j for j in range(470)] + [10**6 + i * 1000 + j for j in range(30)] for i in range(64)}
+    frame = spark.createDataFrame(list(sets.items()), "node long, elements array<long>")
+    open_ = frame.selectExpr("node", "node AS label", "0L AS family", "500L AS size")
+    links = {(r.a, r.b) for r in minhash_dedup._in_blocks(open_, frame, 85, Scratch(spark, "blocks")).collect()}
+    assert links == {(i + 1, i) for i in range(0, 64, 2)}
+    pairs, rounds = most[0], most.count("met")
+    assert rounds >= 8 if widest == 500 else pairs <= minhash_dedup.FEW * (minhash_dedup.FEW + 1) / 2
