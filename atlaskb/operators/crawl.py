@@ -49,11 +49,11 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def diff(pages: DataFrame, state: DataFrame) -> DataFrame:
-    """(url, hash, status): new, changed or unchanged against the state's hash; pages has url and html."""
-    seen = pages.select("url", F.md5("html").alias("hash")).join(state.select("url", F.col("hash").alias("old"), F.lit(True).alias("known")), "url", "left")
+def diff(pages: DataFrame, state: DataFrame, *carried: str) -> DataFrame:
+    """(url, hash, status): new, changed or unchanged against the state's hash; pages has url and html, and the columns `carried` along."""
+    seen = pages.select("url", F.md5("html").alias("hash"), *carried).join(state.select("url", F.col("hash").alias("old"), F.lit(True).alias("known")), "url", "left")
     status = F.when(F.col("known").isNull(), "new").when(F.col("hash").eqNullSafe(F.col("old")), "unchanged").otherwise("changed")
-    return seen.select("url", "hash", status.alias("status"))
+    return seen.select("url", "hash", status.alias("status"), *carried)
 
 
 def removed(state: DataFrame, seen: DataFrame) -> DataFrame:

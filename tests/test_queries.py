@@ -19,6 +19,20 @@ def test_query(spark, name):
         assert rows
 
 
+REPEATED = [
+    (0, "http://a.example.com/en/1", "x"), (1, "http://a.example.com/en/1", "y"), (2, "http://a.example.com/en/2", "z"), (3, "http://a.example.com/en/1", "x"),
+    (4, "http://a.example.com/en/3", "v"), (5, "http://a.example.com/en/3", "w"), (6, "http://a.example.com/en/4", "u"), (9, "http://a.example.com/en/4", "t"),
+]
+
+
+@pytest.mark.parametrize("name", ["changed_semi"])
+def test_pages_that_share_a_url_and_broken_references(spark, tmp_path, name):
+    page = "<html><head><title>%s one&amp;&amp</title></head><body><article><p>Some text &amp; %s more of it &amp</p></article></body></html>"
+    rows = [(i, u, page % (x, x)) for i, u, x in REPEATED]
+    spark.createDataFrame(rows, "page_id long, url string, html string").toPandas().to_parquet(tmp_path / "pages.parquet")
+    assert rows_of(catalogue.QUERIES[name](spark, str(tmp_path))) == expected(catalogue.SQL[name], str(tmp_path))
+
+
 ABSENT = """
 import sys
 class Hidden:
