@@ -171,6 +171,11 @@ def unescaped(c: Column) -> Column:
     return c
 
 
+def whole_references(html: Column) -> Column:
+    """html in which only references with their semicolon are references, as for the regular expressions; the tree decodes some without."""
+    return F.regexp_replace(html, "&(?=#?[A-Za-z0-9]++(?!;))", "&amp;")
+
+
 def title(html: Column) -> Column:
     """The title by regular expression."""
     first = lambda tag: T.strip(unescaped(F.regexp_replace(F.regexp_extract(html, f"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), "<[^>]*>", "")))
