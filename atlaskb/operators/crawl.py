@@ -78,8 +78,9 @@ def merge_index(old: DataFrame, new: DataFrame, key: str = "url") -> DataFrame:
     return mine.join(theirs, F.col(f"o.{key}") == F.col(f"n.{key}"), "full").select(*columns)
 
 
-def not_indexed(pages: DataFrame, chunks: DataFrame) -> DataFrame:
-    return pages.join(chunks.select(F.col("source").alias("url")).distinct(), "url", "left_anti")
+def not_indexed(pages: DataFrame, chunks: DataFrame, key: str = "url") -> DataFrame:
+    """The pages whose key is the source of no chunk."""
+    return pages.join(chunks.select(F.col("source").alias(key)).distinct(), key, "left_anti")
 
 
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_pages: int = 0) -> DataFrame:
