@@ -138,6 +138,21 @@ def test_search_is_exact(spark, monkeypatch, shard):
     assert search.top_k(frame.limit(0), queries.limit(0)).count() == 0
 
 
+def test_search_sends_queries_in_rounds(spark, monkeypatch):
+    """12 shards and a query for each document: all copies at once would be 12 times the documents."""
+    monkeypatch.setattr(search, "SHARD_DOCS", 5)
+    monkeypatch.setattr(search, "SENT", 1, raising=False)
+    rounds, put = [], search.Scratch.put
+    monkeypatch.setattr(search.Scratch, "put", lambda self, df, name: (rounds.append(name), put(self, df, name))[1])
+    docs = [(i, " ".join(random.Random(i).choices("abcdefghijkl", k=9))) for i in range(60)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {}
+    for r in search.top_k(frame, frame, 3).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    assert got == {q: [i for i, _ in x] for q, x in brute_search(docs, range(60), 3).items()}
+    assert rounds.count("ranked") >= 24
+
+
 # HTML
 
 @pytest.mark.parametrize(
