@@ -23,6 +23,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ PLACES, GRAM = 4096, 4
 RANGE_BYTES = 128 << 20
 #: Entries after which the memo of token ids by word starts anew.
 MEMO_WORDS = 800_000
+#: Words of them that a worker keeps after a task.
+KEPT_WORDS = 50_000
 #: Characters that str.split takes for white space beside the ASCII ones that the tokenizer knows; a text with
 #: any of them is given to the tokenizer whole.
 _ODD_ASCII = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -111,6 +114,11 @@ class WordIds:
                     memo[w] = new(w)
             return b"".join([memo[w] for w in words])
 
+    def trim(self) -> None:
+        """Forget all but the words that were met first, most frequent ones among them: a worker outlives its task."""
+        if len(self.memo) > KEPT_WORDS:
+            self.memo = dict(islice(self.memo.items(), KEPT_WORDS))
+
 
 @cache
 def word_ids(path: str) -> WordIds:
@@ -215,6 +223,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                         held, filled, number = [], 0, number + 1
             if done:
                 yield out(done, kind)
+        ids_of.trim()
         if held:
             done, lengths = [], tail_lengths(filled)
             room, offset = lengths[0], 0

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -14,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from atlaskb.llm import byte_bpe, packing, registry
+from atlaskb.llm import byte_bpe, common, packing, registry
 
 from ..oracle import DATA
 
@@ -126,3 +127,34 @@ def test_hilbert_curve_visits_neighbours():
 
 def test_tail_lengths():
     assert packing.tail_lengths(2500) == [2048, 256, 128, 64, 4] and packing.tail_lengths(0) == []
+
+
+def test_workers_do_not_keep_what_a_task_needed(spark, monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_WORDS", 5, raising=False)
+    path = P.path("word_bpe_49k.json")
+    ids_of = packing.WordIds(path)
+    want = ids_of("one two three four five six seven eight")
+    ids_of.trim()
+    assert list(ids_of.memo) == ["one", "two", "three", "four", "five"]
+    assert ids_of("one two three four five six seven eight") == want
+
+    texts = [" ".join(f"word{j}" for j in range(i, i + 60_000)) for i in range(4)]
+    packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).count()
+
+    def kept(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(packing.word_ids(path).memo)], pa.int64())], ["kept"])
+
+    found = spark.range(8).repartition(4).mapInArrow(kept, "kept long").collect()
+    assert max(r.kept for r in found) <= 50_000
+
+
+def test_a_task_gives_memory_back(spark, monkeypatch):
+    def rows(batches):
+        for batch in batches:
+            yield batch
+
+    given = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(common, "give_back", lambda: given.add(1), raising=False)
+    assert common.map_batches(spark.range(10, numPartitions=2), rows, "id long").count() == 10
+    assert given.value == 2
