@@ -138,6 +138,24 @@ def test_search_is_exact(spark, monkeypatch, shard):
     assert search.top_k(frame.limit(0), queries.limit(0)).count() == 0
 
 
+def test_search_multiplies_frequent_terms_once_for_many_queries(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 4)
+    monkeypatch.setattr(search, "FIRST_BLOCKS", 1)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(rng.choices(words, [1 / (j + 1) for j in range(40)], k=rng.randint(1, 30)))) for i in range(120)]
+    told = [search.Terms()(t) for _, t in docs]
+    sizes, lengths = np.array([len(h) for h, _ in told]), np.array([int(c.sum()) for _, c in told])
+    shard = search.Shard(np.concatenate([h for h, _ in told]), np.concatenate([c for _, c in told]), sizes, lengths, lengths.mean())
+    df = Counter(h for terms, _ in told for h in terms.tolist())
+    asked = [shard.held(h, np.log1p([(120 - df[x] + 0.5) / (df[x] + 0.5) for x in h.tolist()])) for h, _ in told]
+    base = shard.frequent(asked)
+    assert base.shape == (120, shard.blocks, 4) and len(shard.dense) > 5
+    for (i, want), held, mine in zip(brute_search(docs, range(120), 3).items(), asked, base, strict=True):
+        found, scores = shard.search(*held, mine, 3)
+        assert sorted(zip((-np.round(scores, 6)).tolist(), found.tolist(), strict=True))[:3] == [(pytest.approx(-s, abs=2e-6), d) for d, s in want], i
+
+
 def test_search_sends_queries_in_rounds(spark, monkeypatch):
     """12 shards and a query for each document: all copies at once would be 12 times the documents."""
     monkeypatch.setattr(search, "SHARD_DOCS", 5)
