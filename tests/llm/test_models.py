@@ -152,7 +152,7 @@ def test_search_multiplies_frequent_terms_once_for_many_queries(spark, monkeypat
     base = shard.frequent(asked)
     assert base.shape == (120, shard.blocks, 4) and len(shard.dense) > 5
     for (i, want), held, mine in zip(brute_search(docs, range(120), 3).items(), asked, base, strict=True):
-        found, scores = shard.search(*held, mine, 3)
+        found, scores = shard.traverse(*held, mine, 3)
         assert sorted(zip((-np.round(scores, 6)).tolist(), found.tolist(), strict=True))[:3] == [(pytest.approx(-s, abs=2e-6), d) for d, s in want], i
 
 
