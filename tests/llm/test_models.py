@@ -171,6 +171,47 @@ def test_search_sends_queries_in_rounds(spark, monkeypatch):
     assert rounds.count("ranked") >= 24
 
 
+def test_search_gives_later_shards_the_best_of_the_first(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARD_DOCS", 10)
+    put, floors = search.Scratch.put, []
+    monkeypatch.setattr(search.Scratch, "put", lambda self, df, name: (table := put(self, df, name), floors.extend(table.collect() if name == "floors" else ()))[0])
+    docs = [(i, " ".join(random.Random(i).choices("abcdefghijkl", k=9))) for i in range(90)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {}
+    for r in search.top_k(frame, frame, 3).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    want = brute_search(docs, range(90), 3)
+    assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
+    assert sum(r.floor is not None for r in floors) > 60 and all(r.floor <= want[r.id][2][1] + 2e-6 for r in floors if r.floor is not None)
+
+
+def test_search_with_a_floor_scores_only_what_reaches_it():
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(rng.choices(words, [1 / (j + 1) for j in range(60)], k=rng.randint(1, 30)))) for i in range(400)]
+    told = [search.Terms()(t) for _, t in docs]
+    sizes, lengths = np.array([len(h) for h, _ in told]), np.array([int(c.sum()) for _, c in told])
+    shard = search.Shard(np.concatenate([h for h, _ in told]), np.concatenate([c for _, c in told]), sizes, lengths, lengths.mean())
+    assert len(shard.dense) and len(shard.postings)  # some terms by document, others by posting
+    df = Counter(h for terms, _ in told for h in terms.tolist())
+    scored, exact = [], shard.exact
+    shard.exact = lambda places, *query: (scored.append(len(places)), exact(places, *query))[1]
+    for i, want in brute_search(docs, range(0, 400, 7), 400).items():
+        held = shard.held(told[i][0], np.log1p([(400 - df[x] + 0.5) / (df[x] + 0.5) for x in told[i][0].tolist()]))
+        base, floor = shard.frequent([held])[0], want[min(4, len(want) - 1)][1]
+        found, scores = shard.traverse(*held, base, 5, floor)
+        assert sorted(zip((-np.round(scores, 6)).tolist(), found.tolist(), strict=True)) == [(pytest.approx(-s, abs=2e-6), d) for d, s in want if s >= floor], i
+        assert scored.pop() <= len(found) + 2
+        assert not len(shard.traverse(*held, base, 5, want[0][1] + 1)[0])
+
+
+def test_search_sorts_terms_that_differ_in_low_bits_only():
+    terms = np.array([5 << 40 | 1, 5 << 40, 7, -3, 5 << 40 | 1, 5 << 40, 6, -3], dtype=np.int64)
+    assert search._by_term(terms).tolist() == np.argsort(terms, kind="stable").tolist()
+    assert search._by_term(terms[:0]).tolist() == []
+    assert search.Terms()("Straße ÉTÉ a_b x² \u0558\u4e00 z")[1].sum() == len(regex.findall(r"[\p{L}\p{N}]+", "straße été a_b x² \u0558\u4e00 z"))
+
+
 # HTML
 
 @pytest.mark.parametrize(
