@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -205,6 +206,45 @@ def test_search_with_a_floor_scores_only_what_reaches_it():
         assert not len(shard.traverse(*held, base, 5, want[0][1] + 1)[0])
 
 
+def test_search_builds_an_index_in_little_memory(monkeypatch):
+    monkeypatch.setattr(search, "PART", 1 << 14, raising=False)
+    rng = np.random.default_rng(4)
+    vocabulary = rng.integers(-(1 << 63), (1 << 63) - 1, 30_000)
+    told = [np.unique(vocabulary[(30_000 * rng.random(400) ** 3).astype(np.int64)]) for _ in range(1500)]
+    terms, sizes = np.concatenate(told), np.array([len(x) for x in told])
+    counts, lengths = rng.integers(1, 40, len(terms), dtype=np.int32), sizes + 7
+    tracemalloc.start()
+    try:
+        shard = search.Shard(terms, counts, sizes, lengths, 300.0)
+        kept, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert len(shard.dense) and len(shard.postings)
+    assert most - shard.dense.nbytes < 34 * len(terms) and kept - shard.dense.nbytes < 16 * len(terms)
+
+
+def test_search_builds_the_same_index_from_pieces(monkeypatch):
+    monkeypatch.setattr(search, "PART", 50)
+    monkeypatch.setattr(search, "BLOCK", 4)
+    rng = np.random.default_rng(5)
+    told = [np.unique(rng.integers(-90, 90, n) << 56) for n in rng.integers(0, 40, 200)]
+    counts = [rng.integers(1, 300, len(x), dtype=np.int32) for x in told]
+    sizes, lengths = np.array([len(x) for x in told]), np.array([int(c.sum()) for c in counts])
+    edges = [0, 0, 1, 70, 200]
+    pieces = [(np.concatenate([*told[a:b], told[0][:0]]), np.concatenate([*counts[a:b], counts[0][:0]]), sizes[a:b], lengths[a:b]) for a, b in zip(edges, edges[1:])]
+    one, other = search.Shard(np.concatenate(told), np.concatenate(counts), sizes, lengths, 50.0), search.Shard.of(pieces, 50.0)
+    assert pieces == [] and len(one.dense)
+    for name, value in vars(one).items():
+        if isinstance(value, np.ndarray):
+            assert np.array_equal(value, getattr(other, name)), name
+    assert np.array_equal(one.terms, np.unique(np.concatenate(told)))
+    for i in range(0, 200, 9):
+        found, scores = other.search(told[i], np.full(sizes[i], 2.0), 5)
+        impact = [c * 2.2 / (c + 1.2 * (0.25 + 0.75 * n / 50)) for c, n in zip(counts, lengths, strict=True)]
+        want = sorted((round(2 * float(x[np.isin(t, told[i])].sum()), 6) for t, x in zip(told, impact, strict=True)), reverse=True)[:5]
+        assert sorted(scores.tolist(), reverse=True)[:5] == pytest.approx([s for s in want if s], abs=2e-6)
+
+
 def test_search_sorts_terms_that_differ_in_low_bits_only():
     terms = np.array([5 << 40 | 1, 5 << 40, 7, -3, 5 << 40 | 1, 5 << 40, 6, -3], dtype=np.int64)
     assert search._by_term(terms).tolist() == np.argsort(terms, kind="stable").tolist()
